@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -25,6 +25,14 @@ def blank(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it.
+
+    A plain expression would be copied into every use, and again when filters are pushed down.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def whole_word(pattern: str) -> str:
     return f"(?<!{WORD})(?:{pattern})(?!{WORD})"
 
@@ -57,7 +65,7 @@ def has_risk_signal(
 
 _PLAIN_ISO = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
+    r"([T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$"
 )
 _ANY_ISO = (
     r"^([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})"
@@ -72,7 +80,7 @@ def parse_instant(column: Column) -> Column:
     has_zone = column.rlike(r"[T ].*(Z|[+-][0-9]{2}:[0-9]{2})$")
     plain = F.when(has_zone, column).otherwise(
         F.concat(
-            F.when(F.length(column) > 10, column).otherwise(F.concat(column, F.lit("T00:00"))),
+            F.when(F.length(column) > 10, column).otherwise(F.concat(column, F.lit("T00:00:00"))),
             F.lit("+00:00"),
         )
     )
@@ -98,7 +106,7 @@ def parse_instant(column: Column) -> Column:
         .when(column.rlike(_ANY_ISO), F.try_to_timestamp(rebuilt))
         .when(
             column.rlike(_ISO_WEEK) & week(3).between(1, 53),
-            F.try_to_timestamp(F.concat(by_week, F.lit("T00:00+00:00"))),
+            F.try_to_timestamp(F.concat(by_week, F.lit("T00:00:00+00:00"))),
         )
     )
 
@@ -208,7 +216,10 @@ def exact_round(column: Column, digits: int) -> Column:
     into its rounded part and its exact error; their sum tells on which side of the half the
     value lies.
     """
-    x = column.cast("double")
+    return bind(column.cast("double"), lambda x: _rounded(x, digits))
+
+
+def _rounded(x: Column, digits: int) -> Column:
     scale = float(10 ** (digits + 1))
     product = x * scale
     nearest = F.rint(product)
@@ -216,9 +227,9 @@ def exact_round(column: Column, digits: int) -> Column:
     high = split - (split - x)
     error = (high * scale - product) + (x - high) * scale
     side = (product - nearest) + error
-    units = F.abs(nearest) - F.floor(F.abs(nearest) / 10.0) * 10.0
-    is_half = (units == 5.0) & (F.abs(product - nearest) < 1e-3) & (F.abs(product) < 1e14)
+    units = F.pmod(F.abs(nearest), F.lit(10.0))
+    near_half = (units == 5.0) & (F.abs(product - nearest) < 1e-3) & (F.abs(product) < 1e14)
     up, down = (nearest + 5.0) / 10.0, (nearest - 5.0) / 10.0
     even = F.when(F.pmod(up, F.lit(2.0)) == 0.0, up).otherwise(down)
     chosen = F.when(side > 0, up).when(side < 0, down).otherwise(even)
-    return F.when(is_half, chosen / float(10**digits)).otherwise(F.round(x, digits))
+    return F.when(near_half, chosen / float(10**digits)).otherwise(F.round(x, digits))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,18 @@ def require_columns(df: DataFrame, required, what: str) -> None:
     missing = sorted(set(required) - set(df.columns))
     if missing:
         raise ValueError(f"Missing {what} columns: {', '.join(missing)}")
+
+
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed once per row.
+
+    As a plain projection it would be copied into every later expression and filter that uses
+    it; a generator of one row per row is left where it is.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def shared_scratch(spark: SparkSession) -> str:
+    """A new path below the checkpoint folder, which every executor can reach."""
+    _ready_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
