@@ -610,3 +610,55 @@ SELECT lang AS event_type, count(*) FILTER (doc_id % 8 < 5) AS train,
 FROM documents GROUP BY 1"""
 ORACLES["exact_name_matches"] = f"""WITH {PAIRS}
 SELECT case_id, {name("mention")} = {name("candidate_name")} AS same FROM pairs"""
+
+# --- models -----------------------------------------------------------------------------------
+SPLIT = """
+day_numbers AS (
+  SELECT observation_date, row_number() OVER (ORDER BY observation_date) - 1 AS i, count(*) OVER () AS n
+  FROM (SELECT DISTINCT observation_date FROM history)),
+split_days AS (
+  SELECT observation_date, CASE WHEN i < greatest(1, floor(n * 0.6::DOUBLE)) THEN 'Train'
+    WHEN i < greatest(greatest(1, floor(n * 0.6::DOUBLE)) + 1, floor(n * 0.8::DOUBLE)) THEN 'Calibration'
+    ELSE 'Test' END AS split FROM day_numbers)"""
+ORACLES["temporal_splits"] = f"""WITH {HISTORY}, {SPLIT}
+SELECT supplier_id, observation_date, split FROM history JOIN split_days USING (observation_date)"""
+ORACLES["split_summary"] = f"""WITH {HISTORY}, {SPLIT}
+SELECT split, min(observation_date) AS start, max(observation_date) AS "end", count(*) AS rows,
+  round(avg(disruption_next_30d), 9) AS disruption_rate
+FROM history JOIN split_days USING (observation_date) GROUP BY 1"""
+_medians = ", ".join(f"median({c}) AS {c}" for c in FEATURE_NAMES)
+_filled = ", ".join(f"coalesce(f.{c}, m.{c}) AS {c}" for c in FEATURE_NAMES)
+_moments = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURE_NAMES)
+_scaled = ", ".join(f"round(({c} - a_{c}) / s_{c}, 7) AS z_{c}" for c in FEATURE_NAMES)
+ORACLES["scaled_features"] = f"""WITH {HISTORY}, {FEATURED}, {SPLIT},
+labeled AS (SELECT * FROM featured JOIN split_days USING (observation_date)),
+medians AS (SELECT {_medians} FROM labeled WHERE split = 'Train'),
+filled AS (SELECT supplier_id, observation_date, split, {_filled} FROM labeled f, medians m),
+moments AS (SELECT {_moments} FROM filled WHERE split = 'Train')
+SELECT supplier_id, observation_date, {_scaled} FROM filled, moments"""
+ORACLES["tfidf_weights"] = """WITH
+docs AS (SELECT doc_id AS id, lower(split_part(text, chr(10), 1) || '. ' || text) AS body FROM documents),
+worded AS (SELECT id, regexp_extract_all(body, '[\\p{L}\\p{N}_]{2,}') AS w FROM docs),
+word_terms AS (
+  SELECT id, unnest(w) AS term FROM worded
+  UNION ALL
+  SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded),
+padded_words AS (
+  SELECT id, ' ' || word || ' ' AS padded, count(*) AS n FROM (
+    SELECT id, unnest(string_split_regex(body, '[\\s\\p{Z}]+')) AS word FROM docs) WHERE word <> '' GROUP BY 1, 2),
+char_terms AS (
+  SELECT id, n, unnest(list_transform(range(1, length(padded) - size + 2), lambda i: substring(padded, i, size))) AS term
+  FROM padded_words, (SELECT unnest([3, 4, 5]) AS size) WHERE length(padded) >= size),
+counts AS (
+  SELECT id, 'word' AS block, term, count(*) AS tf FROM word_terms GROUP BY ALL
+  UNION ALL
+  SELECT id, 'char', term, sum(n) FROM char_terms GROUP BY ALL),
+ranked_terms AS (
+  SELECT block, term, count(*) AS df, row_number() OVER (PARTITION BY block ORDER BY sum(tf) DESC, term) AS nth
+  FROM counts GROUP BY 1, 2 QUALIFY nth <= 5000),
+raw AS (
+  SELECT id, block, term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM docs)) / (1 + df)) + 1) AS raw
+  FROM counts JOIN ranked_terms USING (block, term)),
+weights AS (SELECT *, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id, block)) AS weight FROM raw)
+SELECT block, term, count(*) AS documents, round(max(weight), 9) AS largest, round(min(weight), 9) AS smallest
+FROM weights GROUP BY 1, 2"""

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions import events, risk, text
-from keelson.operators import entities, evaluation, features, matching, news, quality, scoring
-from keelson.operators import similarity
+from keelson.operators import (
+    entities,
+    evaluation,
+    features,
+    matching,
+    models,
+    news,
+    quality,
+    scoring,
+    similarity,
+    text_models,
+)
 from keelson.plans.risk_queue import PipelineResult, run_risk_pipeline
-from keelson.session import shared_scratch
+from keelson.session import cut_lineage, shared_scratch
 from keelson.sources import driver_tables as given
 from keelson.sources import tables
 from keelson.streaming import news_stream
@@ -684,3 +695,116 @@ def entity_errors(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _queue(spark, sf_dir).suppliers
+
+
+# --- models -----------------------------------------------------------------------------------
+
+
+def _split_history(spark, sf_dir):
+    return models.temporal_split(features.add_time_aware_features(given.history(spark, sf_dir)))
+
+
+@query
+def temporal_splits(spark, sf_dir):
+    """L1, J4."""
+    return models.temporal_split(given.history(spark, sf_dir)).select(
+        "supplier_id", "observation_date", "split"
+    )
+
+
+@query
+def split_summary(spark, sf_dir):
+    """L7."""
+    return _rounded(models.split_summary(models.temporal_split(given.history(spark, sf_dir))))
+
+
+@query
+def scaled_features(spark, sf_dir):
+    """L2: learned on the training rows, applied to all."""
+    labeled = cut_lineage(_split_history(spark, sf_dir))
+    scaling = models.fit_scaling(labeled.filter(F.col("split") == "Train"))
+    return _rounded(
+        labeled.select(
+            "supplier_id",
+            "observation_date",
+            *[scaling.scaled(c).alias(f"z_{c}") for c in features.TIME_FEATURES],
+        ),
+        7,
+    )
+
+
+def _logistic(spark, sf_dir):
+    labeled = cut_lineage(_split_history(spark, sf_dir))
+    train = labeled.filter(F.col("split") == "Train")
+    scaling = models.fit_scaling(train)
+    return labeled, scaling, models.fit_logistic(models.with_vectors(train, scaling))
+
+
+@query
+def calibrated_logistic(spark, sf_dir):
+    """Margin, probability and calibrated probability of the test rows."""
+    labeled, scaling, model = _logistic(spark, sf_dir)
+    scored = model.transform(models.with_vectors(labeled, scaling)).withColumn(
+        "margin", vector_to_array("rawPrediction")[1]
+    )
+    fit = models.fit_sigmoid(scored.filter(F.col("split") == "Calibration"), "margin")
+    return scored.filter(F.col("split") == "Test").select(
+        "supplier_id",
+        "observation_date",
+        "margin",
+        vector_to_array("probability")[1].alias("probability"),
+        models.sigmoid(F.col("margin"), *fit).alias("calibrated"),
+    )
+
+
+@query
+def linear_contributions(spark, sf_dir):
+    """L9 for the linear model."""
+    labeled, scaling, model = _logistic(spark, sf_dir)
+    return models.linear_contributions(labeled.filter(F.col("split") == "Test"), model, scaling)
+
+
+@query
+def tree_importances(spark, sf_dir):
+    """Gain and permutation importance of the boosted trees."""
+    labeled = cut_lineage(_split_history(spark, sf_dir))
+    train = labeled.filter(F.col("split") == "Train")
+    scaling = models.fit_scaling(train)
+    trees = models.fit_trees(models.with_vectors(train, scaling))
+    gains = models.feature_importance(trees, spark)
+    test = labeled.filter(F.col("split") == "Test")
+    return gains.unionByName(
+        models.permutation_importance(test, trees, scaling).withColumnRenamed(
+            "brier_increase", "importance"
+        )
+    )
+
+
+@query
+def risk_model_metrics(spark, sf_dir):
+    """Four models on the held-out months."""
+    return models.run_risk_model_benchmark(given.history(spark, sf_dir)).metrics
+
+
+@query
+def tfidf_weights(spark, sf_dir):
+    """L10 over all documents, whole texts."""
+    docs = given.labeled_news(spark, sf_dir).select(
+        "article_id", text.model_text(F.col("title"), F.col("text")).alias("body")
+    )
+    counts = cut_lineage(text_models.term_counts(docs, "article_id", "body"))
+    vocabulary = text_models.fit_vocabulary(counts, docs.count())
+    weights = text_models.tfidf(counts, vocabulary, "article_id")
+    return _rounded(
+        weights.groupBy("block", "term").agg(
+            F.count("*").alias("documents"),
+            F.max("weight").alias("largest"),
+            F.min("weight").alias("smallest"),
+        )
+    )
+
+
+@query
+def news_model_metrics(spark, sf_dir):
+    """Language of the documents, learned from their texts."""
+    return text_models.run_news_benchmark(given.labeled_news(spark, sf_dir)).metrics
