@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
@@ -50,17 +51,36 @@ def article_text(title: Column, snippet: Column, full_text: Column) -> Column:
 
 
 def without_negated_risk(text: Column, negations: Sequence[str] = NEGATIONS) -> Column:
+    """Lower-cased text with the denials blanked, one pattern after the other.
+
+    Texts that hold none of the patterns, word limits aside, skip the costly replacements.
+    """
     lowered = F.lower(blank(text))
+    blanked = lowered
     for pattern in negations:
-        lowered = F.regexp_replace(lowered, whole_word(pattern), " ")
-    return lowered
+        blanked = F.regexp_replace(blanked, whole_word(pattern), " ")
+    if not negations:
+        return lowered
+    return F.when(lowered.rlike("|".join(f"(?:{p})" for p in negations)), blanked).otherwise(lowered)
+
+
+def has_token(lowered: Column, terms: Sequence[str]) -> Column:
+    """Is one of the terms a token (a full run of ``[a-z0-9]``) of the lower-cased text?"""
+    usable = [t for t in terms if re.fullmatch("[a-z0-9]+", t)]
+    if not usable:
+        return F.lit(False)
+    return lowered.rlike(f"(?<![a-z0-9])(?:{'|'.join(usable)})(?![a-z0-9])")
 
 
 def has_risk_signal(
     text: Column, terms: Sequence[str] = RISK_TERMS, negations: Sequence[str] = NEGATIONS
 ) -> Column:
-    """Does the text, denials taken out, hold one of the terms as a token?"""
-    return F.arrays_overlap(token_set(without_negated_risk(text, negations)), text_array(terms))
+    """Does the text, denials taken out, hold one of the terms as a token?
+
+    Blanking whole words makes no new tokens, so texts without any term skip it.
+    """
+    denied_out = has_token(without_negated_risk(text, negations), terms)
+    return F.when(has_token(F.lower(blank(text)), terms), denied_out).otherwise(F.lit(False))
 
 
 _PLAIN_ISO = (
@@ -197,7 +217,7 @@ def duration_share(lowered: Column) -> Column:
     days = F.lit(None).cast("double")
     for name, factor in DAYS_PER_UNIT.items():
         days = F.when(unit == name, number * factor / 30).otherwise(days)
-    return F.coalesce(F.least(days, F.lit(1.0)), F.lit(0.0))
+    return F.least(F.coalesce(days, F.lit(0.0)), F.lit(1.0))
 
 
 def model_text(title: Column, text: Column) -> Column:

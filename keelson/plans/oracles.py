@@ -157,9 +157,10 @@ def severity(column: str) -> str:
 def duration(column: str) -> str:
     pattern = r"'([0-9]+)\s*(day|week|month)'"
     return (
-        f"coalesce(least(try_cast(regexp_extract({column}, {pattern}, 1) AS DOUBLE) "
+        f"least(1.0::DOUBLE, CASE WHEN regexp_matches({column}, {pattern}) "
+        f"THEN try_cast(regexp_extract({column}, {pattern}, 1) AS DOUBLE) "
         f"* CASE regexp_extract({column}, {pattern}, 2) WHEN 'day' THEN 1 WHEN 'week' THEN 7 "
-        f"WHEN 'month' THEN 30 END / 30, 1.0::DOUBLE), 0.0::DOUBLE)"
+        f"ELSE 30 END / 30 ELSE 0.0::DOUBLE END)"
     )
 
 
