@@ -16,6 +16,10 @@ from keelson.functions.lexicons import COMPANY_SUFFIXES, DAYS_PER_UNIT, NEGATION
 
 # A word character, spelled out because \b and \w differ between Java versions.
 WORD = r"[\p{L}\p{N}_]"
+# All white space of Unicode.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
 
 
 def text_array(values: Sequence[str]) -> Column:
@@ -47,7 +51,7 @@ def token_set(column: Column) -> Column:
 
 def article_text(title: Column, snippet: Column, full_text: Column) -> Column:
     joined = F.concat(blank(title), F.lit(" "), blank(snippet), F.lit(" "), blank(full_text))
-    return F.regexp_replace(joined, r"^\s+|\s+$", "")
+    return F.trim(joined, F.lit(WHITE_SPACE))
 
 
 def without_negated_risk(text: Column, negations: Sequence[str] = NEGATIONS) -> Column:
@@ -55,13 +59,16 @@ def without_negated_risk(text: Column, negations: Sequence[str] = NEGATIONS) ->
 
     Texts that hold none of the patterns, word limits aside, skip the costly replacements.
     """
+
+    def blanked(lowered: Column) -> Column:
+        result = lowered
+        for pattern in negations:
+            result = F.regexp_replace(result, whole_word(pattern), " ")
+        any_ = "|".join(f"(?:{p})" for p in negations)
+        return F.when(lowered.rlike(any_), result).otherwise(lowered)
+
     lowered = F.lower(blank(text))
-    blanked = lowered
-    for pattern in negations:
-        blanked = F.regexp_replace(blanked, whole_word(pattern), " ")
-    if not negations:
-        return lowered
-    return F.when(lowered.rlike("|".join(f"(?:{p})" for p in negations)), blanked).otherwise(lowered)
+    return bind(lowered, blanked) if negations else lowered
 
 
 def has_token(lowered: Column, terms: Sequence[str]) -> Column:
@@ -79,8 +86,12 @@ def has_risk_signal(
 
     Blanking whole words makes no new tokens, so texts without any term skip it.
     """
-    denied_out = has_token(without_negated_risk(text, negations), terms)
-    return F.when(has_token(F.lower(blank(text)), terms), denied_out).otherwise(F.lit(False))
+    return bind(
+        F.lower(blank(text)),
+        lambda lowered: F.when(
+            has_token(lowered, terms), has_token(without_negated_risk(lowered, negations), terms)
+        ).otherwise(F.lit(False)),
+    )
 
 
 _PLAIN_ISO = (
@@ -204,9 +215,13 @@ def contains_all(needles: Column, haystack: Column) -> Column:
 
 def jaccard(left: Column, right: Column) -> Column:
     """Jaccard similarity of two token sets; two empty sets are equal."""
-    both = F.size(F.array_intersect(left, right))
-    either = F.size(left) + F.size(right) - both
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / F.greatest(either, F.lit(1)))
+    sizes = F.size(left) + F.size(right)
+    return bind(
+        F.size(F.array_intersect(left, right)),
+        lambda both: F.when(sizes == 0, F.lit(1.0)).otherwise(
+            both / F.greatest(sizes - both, F.lit(1))
+        ),
+    )
 
 
 def duration_share(lowered: Column) -> Column:

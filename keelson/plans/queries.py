@@ -166,7 +166,7 @@ def latest_suppliers(spark, sf_dir):
 
 
 def _docs(spark, sf_dir, *columns):
-    return given.table(spark, sf_dir, "documents").select("doc_id", *columns)
+    return given.documents(spark, sf_dir).select("doc_id", *columns)
 
 
 @query

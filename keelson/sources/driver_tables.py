@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts; if they come in fewer splits than there are cores, spread over the cores."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier months out of ``lineitem``; the target looks one row ahead."""
     line = table(spark, sf_dir, "lineitem")
@@ -71,7 +78,7 @@ MEASURES = [
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: first line as title, dates in several notations."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     day = F.date_format(
         F.date_sub(F.lit("2026-09-10").cast("date"), F.pmod("doc_id", F.lit(120)).cast("int")),
         "yyyy-MM-dd",
@@ -106,7 +113,7 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.substring_index("text", "\n", 1)), F.lit("[a-z0-9]+"), F.lit(0)
     )
     word = [F.coalesce(F.get(words, i), F.lit("")) for i in range(5)]
-    named = table(spark, sf_dir, "documents").select(
+    named = documents(spark, sf_dir).select(
         F.col("doc_id").alias("s_suppkey"),
         F.concat(word[0], F.lit(" "), word[1], F.lit(" Ltd.")).alias("supplier_name"),
         F.concat(word[2], F.lit("|"), word[3]).alias("aliases"),
@@ -160,7 +167,7 @@ def binary_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = (
         table(spark, sf_dir, "labels")
         .select("doc_id", F.col("quality").cast("int").alias("actual"))
-        .join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source"), "doc_id")
+        .join(documents(spark, sf_dir).select("doc_id", "n_chars", "source"), "doc_id")
     )
     length = F.col("n_chars")
     return scored.select(
@@ -196,7 +203,7 @@ def class_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(
         F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     )
-    docs = table(spark, sf_dir, "documents").withColumn("_words", words)
+    docs = documents(spark, sf_dir).withColumn("_words", words)
     hits = F.array(
         *[
             F.struct(
@@ -220,7 +227,7 @@ def class_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labeled_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their language as class and a split by number."""
     slot = F.pmod("doc_id", F.lit(8))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("article_id"),
         F.substring_index("text", "\n", 1).alias("title"),
         "text",
@@ -272,4 +279,4 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(i > 0, F.lit("2026-09-01")).alias("date"),
         ),
     )
-    return table(spark, sf_dir, "documents").select("doc_id", item.alias("news"))
+    return documents(spark, sf_dir).select("doc_id", item.alias("news"))
