@@ -792,8 +792,9 @@ def tfidf_weights(spark, sf_dir):
     docs = given.labeled_news(spark, sf_dir).select(
         "article_id", text.model_text(F.col("title"), F.col("text")).alias("body")
     )
-    counts = cut_lineage(text_models.term_counts(docs, "article_id", "body"))
-    vocabulary = text_models.fit_vocabulary(counts, docs.count())
+    bare = text_models.fit_vocabulary(docs, "body")
+    counts = cut_lineage(text_models.term_counts(docs, "article_id", "body", bare))
+    vocabulary = text_models.with_idf(bare, counts, docs.count())
     weights = text_models.tfidf(counts, vocabulary, "article_id")
     return _rounded(
         weights.groupBy("block", "term").agg(

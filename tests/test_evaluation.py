@@ -126,7 +126,11 @@ def test_entity_threshold_and_metrics(spark):
 
 def test_char_and_word_grams(spark):
     df = spark.createDataFrame([(1, "A flood, a FLOOD"), (2, "")], "id int, body string")
-    counts = {(r.block, r.term): r.tf for r in text_models.term_counts(df, "id", "body").collect()}
+    vocabulary = text_models.fit_vocabulary(df, "body")
+    hits = text_models.term_counts(df, "id", "body", vocabulary).join(vocabulary.terms, "index")
+    counts = {(r.block, r.term): r.tf for r in hits.collect()}
+    totals = text_models.term_totals(df, "body").collect()
+    assert {(r.block, r.term): r.total for r in totals} == counts
     assert counts[("word", "flood")] == 2 and counts[("word", "flood flood")] == 1
     assert ("word", "a") not in counts
     assert counts[("char", " a ")] == 2 and counts[("char", " fl")] == 2 and counts[("char", "lood,")] == 1
