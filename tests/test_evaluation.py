@@ -188,7 +188,7 @@ def test_risk_benchmark_splits_by_time_and_calibrates(spark):
     scaling, model = result.models["scaling"], result.models["Logistic regression"]
     labeled = models.temporal_split(features.add_time_aware_features(synthetic_history(spark)))
     train = models.with_vectors(labeled.filter("split = 'Train'"), scaling)
-    train = train.withColumn("w", models.balanced_weight(train, models.TARGET))
+    train = train.withColumn("w", models.balanced_weight(train, models.TARGET)[0])
     rows = train.select("scaled", "w", models.TARGET).collect()
     b = model.coefficients.toArray()
     gradient = b.copy()
