@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import language_id, packing, quality, toxicity
+from keelson.llm import chat, html_text, language_id, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_quality(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -37,6 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_chat_format": op4_chat_format,
+    "op5_html_text": op5_html_text,
     "op10_quality": op10_quality,
 }
 #: SQL for the operators that SQL can express.
