@@ -8,6 +8,9 @@ tournament tree whose nodes hold the largest free capacity below them.
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ END_OF_DOCUMENT = 1
 #: Bytes of text that a group holds on average (a token has at least one byte of text).
 GROUP_BYTES = 8 << 20
 #: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 100_000
 
 
 def tokenizer_path() -> str:
@@ -37,14 +40,26 @@ def tokenizer_path() -> str:
 
 #: Texts whose words the tokenizer certainly treats alone, whatever stands around them: printable
 #: ASCII and composed Latin letters. Case folding and normalisation keep these to themselves.
-_UNUSUAL = regex.compile(r"[^\t\n\r -~¡-įı-ɏ]")
+_UNUSUAL = re.compile(r"[^\t\n\r -~¡-įı-ɏ]")
+#: What such a tokenizer takes as one word inside a run of signs that are not white space.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands for the vocabulary's mark of a word's end; no usual text holds this byte.
+_WORD_END = b"\x01"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The printable letters by which byte-level vocabularies write bytes."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class WordTokens(dict):
     """Ids of a text as little-endian 32-bit integers, from remembered ids of its words.
 
-    Only for tokenizers that drop white space and never join what it parts; then the ids of a
-    text are those of its words one after another. Unusual texts are encoded as a whole.
+    Only a lower-casing byte-pair vocabulary with marked word ends, which drops white space, is
+    treated so: the ids of a text are those of its words one after another, and a word is merged
+    by rank. All other vocabularies, and unusual texts, are encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,19 +68,49 @@ class WordTokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        model = parts["model"]
+        self.by_word = (
+            model.get("end_of_word_suffix") == "</w>"
+            and _WORD_PATTERN in json.dumps(parts.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\")
+            and '"Lowercase"' in json.dumps(parts.get("normalizer"))
+        )
+        if self.by_word:
+            import tiktoken
+
+            letters = _byte_letters()
+            ranks = {}
+            special = {x["content"] for x in parts.get("added_tokens", ())}
+            for token, rank in model["vocab"].items():
+                if token not in special:
+                    body = token.removesuffix("</w>")
+                    ends = _WORD_END if body != token else b""
+                    ranks[bytes(letters[c] for c in body) + ends] = rank
+            merges = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+            self.merged = merges._core_bpe.encode_single_piece
+            self.words = regex.compile(_WORD_PATTERN).findall
+
+    def __missing__(self, run: str) -> bytes:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = self[word] = np.array(ids, "<u4").tobytes()
+        # Mostly letters, perhaps with one sign behind them: no pattern is needed for these.
+        if run.isalpha():
+            ids = self.merged(run.encode() + _WORD_END)
+        elif run[-1] in ".,;:!?" and run[:-1].isalpha():
+            ids = self.merged(run[:-1].encode() + _WORD_END) + self.merged(run[-1:].encode() + _WORD_END)
+        else:
+            ids = []
+            for word in self.words(run):
+                ids += self.merged(word.encode() + _WORD_END)
+        found = self[run] = array("I", ids).tobytes()
         return found
 
     def encode(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
+        if not self.by_word or _UNUSUAL.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
-        return b"".join([self[word] for word in text.lower().split()])
+        return b"".join([self[run] for run in text.lower().split()])
 
 
 _tokenizers: dict[str, WordTokens] = {}
