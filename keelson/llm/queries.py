@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import chat, html_text, language_id, packing, quality, toxicity
+from keelson.llm import (
+    chat,
+    decontamination,
+    html_text,
+    language_id,
+    near_duplicates,
+    packing,
+    quality,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +45,16 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_quality(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -48,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op5_html_text": op5_html_text,
+    "op6_decontamination": op6_decontamination,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
 }
 #: SQL for the operators that SQL can express.
