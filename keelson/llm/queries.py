@@ -14,7 +14,9 @@ from keelson.llm import (
     near_duplicates,
     packing,
     quality,
+    token_counts,
     toxicity,
+    vector_search,
 )
 
 
@@ -51,6 +53,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.redacted_counts(_table(spark, sf_dir, "documents"))
+
+
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vector_search.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_html_text": op5_html_text,
     "op6_decontamination": op6_decontamination,
+    "op7_token_counts": op7_token_counts,
+    "op8_vector_search": op8_vector_search,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
 }
