@@ -163,7 +163,7 @@ def _votes(rows: np.ndarray, model: QualityModel) -> np.ndarray:
     cosines = rows @ model.vectors.T
     most = min(NEIGHBOURS, len(model.labels))
     near = np.argpartition(-cosines, most - 1, axis=1)[:, :most]
-    weight = np.clip(np.take_along_axis(cosines, near, 1), 1e-6, 1) ** SHARPNESS
+    weight = np.clip(np.take_along_axis(cosines, near, 1).astype(np.float64), 1e-6, 1) ** SHARPNESS
     return ((weight * model.labels[near]).sum(1) / weight.sum(1)).clip(0, 1)
 
 

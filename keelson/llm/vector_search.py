@@ -145,7 +145,24 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
             if full.any():
                 graph[own[full]] = robust_prune(points, own[full], merged[full], degree)
         done += len(batch)
-    return graph, entries
+    return graph, _all_entries(graph, entries)
+
+
+def _all_entries(graph: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The entry nodes and one more for every part of the graph that they do not reach."""
+    reached = np.zeros(len(graph) + 1, bool)
+    reached[-1] = True  # stands for the missing edge -1
+    found = entries.tolist()
+    new = entries
+    while True:
+        while len(new):
+            reached[new] = True
+            new = np.unique(graph[new])
+            new = new[~reached[new]]
+        if reached.all():
+            return np.array(found)
+        new = np.flatnonzero(~reached)[:1]
+        found += new.tolist()
 
 
 def _valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
