@@ -184,11 +184,10 @@ def probability_metrics(predictions: DataFrame) -> DataFrame:
     )
 
 
-def reliability_curve(predictions: DataFrame, bins: int = 5, small: int | None = None) -> DataFrame:
+def reliability_curve(predictions: DataFrame, bins: int = 5) -> DataFrame:
     """Mean predicted and observed rate in quantile bins of one model's probabilities."""
-    sizes = {} if small is None else {"small": small}
     inner = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(predictions, {"probability": inner}, **sizes)["probability"]
+    edges = exact_quantiles(predictions, {"probability": inner})["probability"]
     bin_ = F.size(
         F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("probability"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keelson.session import cut_lineage, require_columns
 
+# The names and order of the features, and the columns that must be there.
 TIME_FEATURES = [
     "avg_delay_days",
     "risk_score",
@@ -36,8 +37,6 @@ REQUIRED = (
     "external_event_severity",
 )
 REACH = 3
-HOT_ROWS = 5_000_000
-MOST_HOT_KEYS = 1_000
 
 
 def _feature_columns(in_order: WindowSpec) -> dict:
@@ -65,68 +64,65 @@ def _feature_columns(in_order: WindowSpec) -> dict:
     }
 
 
-def _sliced(data: DataFrame, hot_rows: int) -> DataFrame | None:
-    """Cut the history of suppliers with very many rows into time slices.
+def _with_ranges(data: DataFrame) -> DataFrame:
+    """Deal the rows by ranges of supplier and time and give every range what it looks back to.
 
-    Returns ``None`` when no supplier is that large. Otherwise each slice also gets the last
-    ``REACH`` rows before it, marked ``_before``, which is all that its windows look back to.
+    A supplier with a long history is spread over several ranges. Each of them also gets the last
+    ``REACH`` rows before it, marked ``_before``.
     """
-    sizes = data.groupBy("supplier_id").count()
-    totals = sizes.agg(F.sum("count").alias("n"), F.max("count").alias("largest")).first()
-    limit = max(hot_rows, (totals["n"] or 0) // MOST_HOT_KEYS)
-    if (totals["largest"] or 0) <= limit:
-        return None
-    # More than n / MOST_HOT_KEYS rows each, so fewer than MOST_HOT_KEYS suppliers.
-    hot = sizes.filter(F.col("count") > limit).select("supplier_id")
-    slices = min(-(-totals["largest"] // limit), 1_000)
-    at = F.unix_micros(F.col("observation_date").cast("timestamp"))
-    edges = cut_lineage(
-        data.join(F.broadcast(hot), "supplier_id")
-        .groupBy("supplier_id")
-        .agg(F.percentile_approx(at, [i / slices for i in range(1, slices)]).alias("_edges"))
+    order = ["supplier_id", "observation_date", "_order"]
+    ranged = cut_lineage(
+        data.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
     )
-    marked = data.join(F.broadcast(edges), "supplier_id", "left").withColumn(
-        "_slice", F.coalesce(F.size(F.filter("_edges", lambda e: e < at)), F.lit(0))
+    columns = [c for c in ranged.columns if c != "_range"]
+    # Of each supplier, at most REACH rows per range: as few rows as there are ranges, times REACH.
+    newest_first = Window.partitionBy("supplier_id", "_range").orderBy(
+        F.desc("observation_date"), F.desc("_order")
     )
-    marked = marked.withColumn("_hot", F.col("_edges").isNotNull()).drop("_edges")
-    columns = [c for c in marked.columns if c not in ("_slice", "_hot")]
-    newest_first = Window.partitionBy("supplier_id", "_slice").orderBy(F.desc("observation_date"))
-    tails = (
-        marked.filter("_hot")
-        .withColumn("_nth", F.row_number().over(newest_first))
-        .filter(F.col("_nth") <= REACH)
+    tails = ranged.withColumn("_nth", F.row_number().over(newest_first)).filter(
+        F.col("_nth") <= REACH
     )
-    in_order = Window.partitionBy("supplier_id").orderBy("observation_date")
-    oldest = Window.partitionBy("supplier_id", "_slice")
+    in_order = Window.partitionBy("supplier_id").orderBy("observation_date", "_order")
+    oldest = Window.partitionBy("supplier_id", "_range")
     halo = (
-        tails.withColumn(
+        tails.join(_in_several_ranges(ranged), "supplier_id", "left_semi")
+        .withColumn(
             "_rows", F.collect_list(F.struct(*columns)).over(in_order.rowsBetween(-REACH, -1))
         )
         .withColumn("_first", F.col("_nth") == F.max("_nth").over(oldest))
         .filter("_first")
-        .select("_slice", F.explode("_rows").alias("_row"))
-        .select("_row.*", "_slice", F.lit(True).alias("_before"))
+        .select("_range", F.explode("_rows").alias("_row"))
+        .select("_row.*", "_range", F.lit(True).alias("_before"))
     )
-    return marked.drop("_hot").withColumn("_before", F.lit(False)).unionByName(halo)
+    return ranged.withColumn("_before", F.lit(False)).unionByName(halo)
 
 
-def add_time_aware_features(history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _in_several_ranges(ranged: DataFrame) -> DataFrame:
+    return (
+        ranged.groupBy("supplier_id")
+        .agg(F.min("_range").alias("a"), F.max("_range").alias("b"))
+        .filter("a < b")
+        .select("supplier_id")
+    )
+
+
+def add_time_aware_features(history: DataFrame, order: str | None = None) -> DataFrame:
     """Lags, rolling statistics and seasonality known at each observation date.
 
-    Windows count rows, not months, and never include the current row. One shuffle by supplier;
-    a supplier with more than ``hot_rows`` rows is spread over time slices.
+    Windows count rows, not months, and never include the current row. ``order`` names a column
+    that says which of a supplier's rows with equal dates comes first; without it a hash of the
+    row decides, the same in every run. A supplier's rows are spread over as many tasks as their
+    number needs.
     """
     require_columns(history, REQUIRED, "history")
     data = history
     if dict(history.dtypes)["observation_date"] == "string":
         data = data.withColumn("observation_date", F.to_timestamp("observation_date"))
-    sliced = _sliced(data, hot_rows)
-    if sliced is None:
-        in_order = Window.partitionBy("supplier_id").orderBy("observation_date")
-        return data.withColumns(_feature_columns(in_order))
-    in_order = Window.partitionBy("supplier_id", "_slice").orderBy("observation_date")
+    tie = F.col(order) if order else F.xxhash64(*history.columns)
+    in_order = Window.partitionBy("supplier_id", "_range").orderBy("observation_date", "_order")
     return (
-        sliced.withColumns(_feature_columns(in_order))
+        _with_ranges(data.withColumn("_order", tie))
+        .withColumns(_feature_columns(in_order))
         .filter(~F.col("_before"))
-        .drop("_before", "_slice")
+        .drop("_before", "_range", "_order")
     )

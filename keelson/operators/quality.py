@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators.quantiles import exact_quantiles, profile
-from keelson.session import clip, require_columns
+from keelson.session import clip, cut_lineage, require_columns
 
 REQUIRED = (
     "supplier_id",
@@ -84,12 +84,12 @@ def _is_missing(df: DataFrame, name: str) -> Column:
 
 
 def validate_suppliers(
-    suppliers: DataFrame, order: str = "row_pos", small: int | None = None
+    suppliers: DataFrame, order: str = "row_pos"
 ) -> SupplierQuality:
     """Clean a supplier table and report what was changed.
 
-    One aggregate job fills the report and the medians' inputs, a second one finds the medians;
-    the cleaned table itself stays lazy and is one aggregate plus one projection.
+    The last row of every supplier is written once; the report, the medians and the cleaned
+    table, a projection, all read that.
     """
     require_columns(suppliers, REQUIRED, "required")
     latest = keep_last(suppliers, "supplier_id", order)
@@ -100,6 +100,7 @@ def validate_suppliers(
             **{c: to_number(F.col(c)) for c in present},
         }
     )
+    casted = cut_lineage(casted)
     stats = (
         casted.agg(
             F.coalesce(F.sum("_copies"), F.lit(0)).alias("received"),
@@ -117,8 +118,7 @@ def validate_suppliers(
     if not stats["received"]:
         raise ValueError("Supplier data is empty.")
     with_nulls = [c for c in present if stats[f"null_{c}"]]
-    sizes = {} if small is None else {"small": small}
-    medians = exact_quantiles(casted, {c: [0.5] for c in with_nulls}, known=stats, **sizes)
+    medians = exact_quantiles(casted, {c: [0.5] for c in with_nulls}, known=stats)
     fills = {c: medians[c][0] for c in with_nulls}
     fills = {c: DEFAULTS.get(c, 0.0) if v is None else v for c, v in fills.items()}
 

@@ -1,10 +1,10 @@
 """Exact order statistics and quantiles without sorting the table.
 
-Small columns use Spark's exact ``percentile``. Its state holds every distinct value in one task,
-so larger columns are narrowed down instead: each pass counts the values of the current bracket
-in ``BUCKETS`` equal-width buckets (a tiny aggregate with map-side combine) and goes on in the
-bucket that holds the wanted rank, until that bucket has a single value. All columns and ranks
-share the passes.
+The wanted ranks are narrowed down, for columns of any size alike: each pass counts the values of
+the current bracket in buckets (a tiny aggregate with map-side combine) and goes on in the bucket
+that holds the wanted rank, until that bucket has a single value. A bracket that spans more than
+two powers of two is split by sign and exponent, any other into ``BUCKETS`` of equal width, so a
+double is found in at most six passes, whatever the range. All columns and ranks share the passes.
 """
 
 from __future__ import annotations
@@ -12,11 +12,25 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 2048
-SMALL = 1_000_000
+
+
+def _is_wide(low: float, high: float) -> bool:
+    """Whether the bracket spans zero or more than one power of two."""
+    if math.isinf(low) or math.isinf(high) or low <= 0 <= high:
+        return True
+    least, most = sorted((abs(low), abs(high)))
+    return most / 4 > least  # a bucket of one exponent is never split by exponent again
+
+
+def _exponent(value: Column) -> Column:
+    """Sign and binary exponent as one number that grows with the value; zero is 0."""
+    size = F.floor(F.log2(F.abs(value))).cast("int") + 1_100
+    size = F.when(F.abs(value) == float("inf"), F.lit(3_000)).otherwise(size)
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
 
 
 def order_statistics(
@@ -39,14 +53,15 @@ def order_statistics(
             value = F.col(column)
             if low == high:
                 bucket = F.lit(0)
+            elif _is_wide(low, high):
+                bucket = _exponent(value)
             else:
                 # Each step is monotone in floating point, so buckets keep the order of values.
                 share = (value / 2 - low / 2) / (high / 2 - low / 2)
-                inner = F.nanvl(share, F.lit(0.5)) * buckets  # not a number: a limit is infinite
                 bucket = (
                     F.when(value == low, F.lit(0))
                     .when(value == high, F.lit(buckets - 1))
-                    .otherwise(F.least(F.floor(inner), F.lit(buckets - 1)).cast("int"))
+                    .otherwise(F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int"))
                 )
             cells.append(
                 F.when(
@@ -64,7 +79,7 @@ def order_statistics(
             .agg(
                 F.count("*").alias("n"), F.min("c.value").alias("low"), F.max("c.value").alias("high")
             )
-            .collect()  # at most len(brackets) * buckets rows
+            .collect()  # at most len(brackets) * 4,300 rows
         )
         by_bracket: dict[int, list] = {}
         for row in counted:
@@ -99,7 +114,6 @@ def profile(df: DataFrame, columns: Sequence[str]) -> list:
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
-    small: int = SMALL,
     known: Mapping[str, object] | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column; nulls are left out, ``None`` if all null."""
@@ -111,15 +125,6 @@ def exact_quantiles(
     sizes = {c: known[f"_n_{c}"] for c in columns}
     result: dict[str, list[float | None]] = {c: [None] * len(wanted[c]) for c in columns}
     filled = [c for c in columns if sizes[c]]
-    if filled and max(sizes[c] for c in filled) <= small:
-        row = df.agg(
-            *[
-                F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(q)) for q in wanted[c]]))
-                .alias(c)
-                for c in filled
-            ]
-        ).first()
-        return {**result, **{c: list(row[c]) for c in filled}}
     ranks = {}
     for c in filled:
         places = [q * (sizes[c] - 1) for q in wanted[c]]
@@ -129,7 +134,7 @@ def exact_quantiles(
     for c in filled:
         for i, q in enumerate(wanted[c]):
             place = q * (sizes[c] - 1)
-            low, high = values[c][math.floor(place)], values[c][math.ceil(place)]
-            share = place - math.floor(place)
-            result[c][i] = low if low == high else (1 - share) * low + share * high
+            below, above = math.floor(place), math.ceil(place)
+            low, high = values[c][below], values[c][above]
+            result[c][i] = low if low == high else (above - place) * low + (place - below) * high
     return result

@@ -49,12 +49,13 @@ title_words AS (
   SELECT doc_id, regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+') AS w
   FROM documents),
 suppliers AS MATERIALIZED (
-  SELECT m.*, s_suppkey AS row_pos,
-         coalesce(w[1], '') || ' ' || coalesce(w[2], '') || ' Ltd.' AS supplier_name,
-         coalesce(w[3], '') || '|' || coalesce(w[4], '') AS aliases,
-         coalesce(w[5], '') AS location
-  FROM supplier JOIN title_words ON doc_id = s_suppkey
-  JOIN means m ON m.supplier_id = CAST(s_suppkey AS VARCHAR))"""
+  SELECT CAST(s_suppkey AS VARCHAR) AS supplier_id, m.* EXCLUDE (supplier_id), s_suppkey AS row_pos,
+         CASE WHEN doc_id IS NOT NULL
+              THEN coalesce(w[1], '') || ' ' || coalesce(w[2], '') || ' Ltd.' END AS supplier_name,
+         CASE WHEN doc_id IS NOT NULL THEN coalesce(w[3], '') || '|' || coalesce(w[4], '') END AS aliases,
+         CASE WHEN doc_id IS NOT NULL THEN coalesce(w[5], '') END AS location
+  FROM supplier LEFT JOIN title_words ON doc_id = s_suppkey
+  LEFT JOIN means m ON m.supplier_id = CAST(s_suppkey AS VARCHAR))"""
 )
 
 NEWS = """
@@ -326,12 +327,14 @@ articles AS (
 
 # --- sources, checks, text --------------------------------------------------------------------
 ORACLES["csv_suppliers"] = f"""WITH {DIRTY}
-SELECT supplier_id, supplier_name, nullif(location, '') AS location, false AS no_delay,
+SELECT supplier_id, supplier_name || chr(10) || '(supplier)' AS supplier_name, nullif(location, '') AS location, false AS no_delay,
   risk_score IS NULL AS no_risk, on_time_delivery_rate IS NULL AS no_rate, round(risk_score, 7) AS risk_score
 FROM dirty"""
 ORACLES["parquet_report"] = MONTH_RISK + """
 SELECT supplier_id, observation_date, round(raw_internal, 9) AS raw_internal, round(raw_loss, 4) AS raw_loss, priority FROM scored"""
-ORACLES["json_news"] = f'WITH {NEWS} SELECT 0 AS "at", title, url, published_at FROM news'
+ORACLES["json_news"] = f"""WITH {NEWS}
+SELECT CAST(row_number() OVER (PARTITION BY article_pos // 100 ORDER BY article_pos) - 1 AS INTEGER) AS "at",
+  title, url, published_at FROM news"""
 ORACLES["json_line_news"] = f"WITH {NEWS} SELECT {ARTICLE_FIELDS} FROM news"
 ORACLES["payload_articles"] = f"WITH {ITEMS} SELECT * FROM articles"
 ORACLES["payload_stream"] = ORACLES["payload_articles"]
@@ -446,6 +449,9 @@ ORACLES["risk_evidence"] = QUEUE + """
 SELECT supplier_id, url, published_at, event_type, round(event_confidence, 4) AS event_confidence,
   round(event_severity, 4) AS event_severity, round(relevance_score, 4) AS relevance_score,
   'keyword' AS classifier_backend FROM evidence"""
+ORACLES["supplier_evidence"] = QUEUE + """
+SELECT title, source, published_at, event_type, round(event_confidence, 4) AS event_confidence, url
+FROM evidence WHERE CAST(supplier_id AS BIGINT) % 10 = 3"""
 ORACLES["news_counts"] = QUEUE + """
 SELECT (SELECT count(*) FROM news) AS articles_received, (SELECT count(*) FROM unique_news) AS articles_processed"""
 ORACLES["executive_summary"] = MONTH_RISK + """,
@@ -460,7 +466,9 @@ ORACLES["risk_snapshot"] = MONTH_RISK + """
 SELECT count(*) AS suppliers, count(*) FILTER (priority IN ('Critical', 'High')) AS need_action,
   round(sum(raw_loss), 2) AS total_loss FROM scored"""
 ORACLES["action_center"] = MONTH_RISK + """
-SELECT priority, supplier_name, 'unknown' AS location, 'none' AS top_event_type, recommended_action FROM scored"""
+SELECT priority, supplier_name, 'unknown' AS location, 'none' AS top_event_type, recommended_action,
+  round(100 * raw_combined, 1) AS risk_score_calculated, round(raw_probability, 4) AS disruption_probability,
+  round(raw_loss, 2) AS expected_loss FROM scored"""
 ORACLES["highest_losses"] = SUPPLIER_RISK + """
 SELECT supplier_id, round(raw_loss, 2) AS expected_loss FROM scored ORDER BY raw_loss DESC, supplier_id LIMIT 8"""
 ORACLES["supplier_detail"] = MONTH_RISK + """

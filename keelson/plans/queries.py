@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keelson.functions import events, risk, text
 from keelson.operators import (
@@ -70,11 +69,17 @@ def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 @query
 def csv_suppliers(spark, sf_dir):
-    """Write a report as CSV and read it as a supplier table."""
+    """Write a report as CSV and read it as a supplier table.
+
+    The file has its columns in another order and line feeds in its cells.
+    """
     path = shared_scratch(spark)
-    out = given.dirty_suppliers(spark, sf_dir).drop("row_pos")
-    tables.write_report(out, path, fmt="csv")
-    return tables.read_csv_table(spark, path, out.columns).select(
+    out = given.dirty_suppliers(spark, sf_dir).withColumn(
+        "supplier_name", F.concat("supplier_name", F.lit("\n(supplier)"))
+    )
+    tables.write_report(out.select(*reversed(out.columns)), path, fmt="csv")
+    names = [c for c in out.columns if c != "row_pos"]
+    return tables.read_csv_table(spark, path, names, multi_line=True).select(
         "supplier_id",
         "supplier_name",
         "location",
@@ -99,13 +104,16 @@ def json_news(spark, sf_dir):
     """JSON array files, one array per source document."""
     path = shared_scratch(spark)
     articles = given.news(spark, sf_dir)
-    array = F.to_json(F.array(F.struct(*tables.ARTICLE_FIELDS)))
-    articles.select(array.alias("value")).write.text(path)
-    lines = spark.read.text(path)
-    parsed = lines.select(
-        F.posexplode(F.from_json("value", T.ArrayType(tables._ARTICLE))).alias("at", "article")
+    # A file holds a hundred articles as one array.
+    days = articles.groupBy(F.floor(F.col("article_pos") / 100).alias("day")).agg(
+        F.to_json(F.sort_array(F.collect_list(F.struct("article_pos", *tables.ARTICLE_FIELDS)))).alias("value")
+    )
+    days.write.partitionBy("day").text(path)
+    parsed = tables.read_news_json(spark, path)
+    by_file = Window.partitionBy("article_pos.file").orderBy("article_pos")
+    return parsed.select(
+        (F.row_number().over(by_file) - 1).alias("at"), "title", "url", "published_at"
     )
-    return parsed.select("at", "article.title", "article.url", "article.published_at")
 
 
 @query
@@ -130,7 +138,8 @@ def payload_stream(spark, sf_dir):
     answers.write.json(landing)
     stream = news_stream.stream_articles(spark, landing, schema=answers.schema)
     news_stream.land_articles(stream, out, shared_scratch(spark)).awaitTermination()
-    return spark.read.parquet(out)
+    landed = spark.read.parquet(out)
+    return landed.withColumn("at", F.col("article_pos.at")).drop("article_pos")
 
 
 # --- supplier checks --------------------------------------------------------------------------
@@ -523,9 +532,7 @@ def action_center(spark, sf_dir):
     months = _scored(spark, sf_dir).withColumns(
         {"location": F.lit("unknown"), "top_event_type": F.lit("none")}
     )
-    return scoring.action_center(months).drop(
-        "risk_score_calculated", "disruption_probability", "expected_loss"
-    )
+    return scoring.action_center(months)
 
 
 @query
@@ -545,6 +552,14 @@ def supplier_detail(spark, sf_dir):
     return _rounded(scoring.supplier_detail(months, "Supplier 7"))
 
 
+@query
+def supplier_evidence(spark, sf_dir):
+    """The matched articles of the suppliers of one name."""
+    evidence = _queue(spark, sf_dir).evidence
+    named = evidence.filter("supplier_id % 10 = 3").withColumn("supplier_name", F.lit("Chosen"))
+    return _rounded(scoring.supplier_evidence(named, "Chosen"))
+
+
 # --- features ---------------------------------------------------------------------------------
 
 

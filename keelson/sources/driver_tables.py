@@ -121,9 +121,9 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     keys = table(spark, sf_dir, "supplier").select("s_suppkey")
     return (
-        keys.join(named, "s_suppkey")
+        keys.join(named, "s_suppkey", "left")
         .withColumn("supplier_id", F.col("s_suppkey").cast("string"))
-        .join(means, "supplier_id")
+        .join(means, "supplier_id", "left")
         .select(
             "supplier_id",
             "supplier_name",

@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from keelson.sources.tables import PAYLOAD_SCHEMA, flatten_payloads
+from keelson.sources.tables import PAYLOAD_SCHEMA, positioned_articles
 
 
 def stream_articles(
-    spark: SparkSession, path: str, limit: int = 5, files_per_trigger: int = 1_000, schema=None
+    spark: SparkSession,
+    path: str,
+    limit: int = 5,
+    files_per_trigger: int = 1_000,
+    schema=None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Articles of every answer file under ``path``, one JSON answer per line."""
+    """Articles of every answer file under ``path``, with ``article_pos``.
+
+    One JSON answer per line, or per file if ``multi_line``, as in ``read_payloads``.
+    """
     answers = (
         spark.readStream.schema(schema or PAYLOAD_SCHEMA)
         .option("maxFilesPerTrigger", files_per_trigger)
+        .option("multiLine", multi_line)
         .json(path)
     )
-    return flatten_payloads(answers, limit)
+    return positioned_articles(answers, limit)
 
 
 def land_articles(articles: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -50,7 +50,7 @@ def test_relevance_gate_is_strict(spark):
         ("Port delay in Hamburg", "", "Cargo strike"),
         ("Acme picnic", ""),
     )
-    got = {(r.supplier_id, r.article_pos): r.relevance_score for r in matching.scored_pairs(suppliers, df).collect()}
+    got = {(r.supplier_id, r.article_pos): r.relevance_score for r in matching.rank_for_suppliers(suppliers, df).collect()}
     # Risk words alone reach 0.2 at most, which is not enough.
     assert got == {("S1", 0): 1.0, ("S1", 2): 0.5}
 
@@ -169,11 +169,23 @@ def test_payloads_in_batch_and_stream(spark, tmp_path):
     (landing / "a.json").write_text(json.dumps(payload(7)))
     (landing / "b.json").write_text(json.dumps(payload(2)))
     batch = tables.read_payloads(spark, str(landing), limit=5)
-    assert batch.count() == 7
+    assert batch.count() == 7 == batch.select("article_pos").distinct().count()
     first = batch.filter("title = 't0'").first()
     assert (first.source, first.full_text, first.url) == ("Wire", "s0", "l0")
     assert batch.filter("title = 't1'").first().source == "Web"
     stream = news_stream.stream_articles(spark, str(landing), limit=5)
     query = news_stream.land_articles(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 7
+    landed = spark.read.parquet(str(tmp_path / "out"))
+    assert landed.count() == 7
+    assert {r.article_pos for r in landed.collect()} == {r.article_pos for r in batch.collect()}
+
+
+def test_payloads_over_several_lines(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.json").write_text(json.dumps(payload(3), indent=2))
+    batch = tables.read_payloads(spark, str(landing), multi_line=True)
+    stream = news_stream.stream_articles(spark, str(landing), multi_line=True)
+    news_stream.land_articles(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert batch.count() == spark.read.parquet(str(tmp_path / "out")).count() == 3

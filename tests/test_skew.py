@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,10 +47,11 @@ def test_dedup_equals_reading_in_order(spark, seed, threshold, tuning):
     assert sorted(r.article_pos for r in kept.collect()) == greedy(titles, threshold)
 
 
-def test_every_drop_repeats_a_kept_earlier_title(spark):
-    titles = template_titles(9, 200, 25, 3)
+@pytest.mark.parametrize("tuning", [{}, {"window": 1}, {"window": 2, "crowd": 3}])
+def test_every_drop_repeats_the_first_kept_similar_title(spark, tuning):
+    titles = template_titles(9, 120, 25, 3)
     of = dict(titles)
-    found = similarity.near_duplicates(titles_frame(spark, titles)).collect()
+    found = similarity.near_duplicates(titles_frame(spark, titles), **tuning).collect()
     kept = greedy(titles, 0.72)
     assert sorted(set(of) - set(kept)) == sorted(r.article_pos for r in found)
     for r in found:
@@ -109,8 +111,17 @@ def history(spark, months=40, suppliers=3):
 
 def test_sliced_windows_equal_plain_windows(spark):
     df = history(spark)
-    plain = features.add_time_aware_features(df)
-    sliced = features.add_time_aware_features(df, hot_rows=8)
+    plain = features.add_time_aware_features(df.coalesce(1))
+    # Many ranges, so that one supplier's rows are in several of them.
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    plain = plain.sparkSession.createDataFrame(plain.collect(), plain.schema)
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sliced = features.add_time_aware_features(df)
+    sliced = spark.createDataFrame(sliced.collect(), sliced.schema)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     key = ["supplier_id", "observation_date"]
     a, b = (sorted(map(tuple, x.select(*key, *features.TIME_FEATURES).collect()), key=repr) for x in (plain, sliced))
     assert len(a) == len(b)
@@ -121,16 +132,30 @@ def test_sliced_windows_equal_plain_windows(spark):
         assert [x for x, _ in numbers] == pytest.approx([y for _, y in numbers])
 
 
+def test_equal_dates_follow_the_row_order(spark):
+    rows = [("S", "2020-01-01", float(v), 1.0, 1.0, 1.0, 1.0, v) for v in (5, 3, 9, 1, 7)]
+    df = spark.createDataFrame(rows, history(spark).schema.add("at", "int")).repartition(3)
+    for _ in range(2):
+        got = features.add_time_aware_features(df, order="at").orderBy("at").collect()
+        assert [r.delay_lag_1m for r in got] == [None, 1.0, 3.0, 5.0, 7.0]
+        assert [r.delay_rolling_mean_3m for r in got] == [None, None, 2.0, 3.0, 5.0]
+    first, again = (
+        sorted((r.at, r.delay_lag_1m) for r in features.add_time_aware_features(x).collect())
+        for x in (df, df.coalesce(1))
+    )
+    assert [lag for _, lag in first] == [lag for _, lag in again]
+
+
 def test_quantiles_by_narrowing_equal_percentile(spark):
     rng = random.Random(3)
     values = [(rng.choice([0.0, 1.0, rng.random() * 1e6, -rng.random()]), float(i % 7)) for i in range(3000)]
     values += [(None, 3.0), (1e-300, 1e9)]
     df = spark.createDataFrame(values, "a double, b double")
     wanted = {"a": [0.0, 0.2, 0.5, 0.77, 1.0], "b": [0.5, 0.9]}
-    small = quantiles.exact_quantiles(df, wanted)
-    large = quantiles.exact_quantiles(df, wanted, small=0)
-    for c in wanted:
-        assert large[c] == pytest.approx(small[c], rel=1e-12)
+    found = quantiles.exact_quantiles(df, wanted)
+    for c, shares in wanted.items():
+        exact = df.agg(F.percentile(c, F.array(*[F.lit(q) for q in shares]))).first()[0]
+        assert found[c] == pytest.approx(exact, rel=1e-12)
     assert quantiles.exact_quantiles(df.filter("b > 1e12"), {"a": [0.5]}) == {"a": [None]}
 
 
@@ -158,5 +183,14 @@ def test_metrics_with_one_hot_score(spark):
         hits = sum(p >= s for p in pos)
         step += sum(p == s for p in pos) / len(pos) * hits / sum(p >= s for _, _, p in rows)
     assert got.roc_auc == pytest.approx(auc) and got.pr_auc == pytest.approx(step)
-    plain = [tuple(r) for r in reliability_curve(df).collect()]
-    assert plain == [tuple(r) for r in reliability_curve(df, small=0).collect()]
+    assert sum(r.rows for r in reliability_curve(df).collect()) == len(rows)
+
+
+def test_quantiles_of_any_range_take_few_passes(spark, monkeypatch):
+    values = [float(s * 10.0**e) for e in range(-300, 301, 7) for s in (-1, 1)] + [0.0, 5e-324]
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    passes = []
+    monkeypatch.setattr(quantiles, "_is_wide", lambda low, high, real=quantiles._is_wide: passes.append(1) or real(low, high))
+    got = quantiles.exact_quantiles(df, {"a": [0.0, 0.25, 0.5, 0.75, 1.0]})["a"]
+    assert got == pytest.approx(np.quantile(values, [0.0, 0.25, 0.5, 0.75, 1.0]).tolist(), rel=1e-12)
+    assert len(passes) <= 6 * 8

@@ -55,18 +55,17 @@ def test_bad_numbers_medians_and_ranges(spark):
         {"supplier_id": "d", "risk_score": "-5", "avg_delay_days": "10"},
         {"supplier_id": "e", "risk_score": "NaN", "avg_delay_days": "2", "daily_revenue_exposure": "-1"},
     ]
-    for small in (None, 0):
-        result = quality.validate_suppliers(frame(spark, rows, columns), small=small)
-        got = {r.supplier_id: r for r in result.data.collect()}
-        # The median is taken before the limits: of -5, 10, 250.
-        assert [got[k].risk_score for k in "abcde"] == [10, 100, 10, 0, 10]
-        assert got["b"].avg_delay_days == 2.5
-        assert got["e"].daily_revenue_exposure == 0
-        assert got["a"].quality_defect_rate == 0.02  # nothing there at all: the default
-        report = {(r.check, r.column): r.n for r in result.report.collect()}
-        assert report[("invalid_to_missing", "risk_score")] == 1
-        assert report[("missing_filled", "risk_score")] == 2
-        assert report[("invalid_to_missing", "avg_delay_days")] == 1
+    result = quality.validate_suppliers(frame(spark, rows, columns))
+    got = {r.supplier_id: r for r in result.data.collect()}
+    # The median is taken before the limits: of -5, 10, 250.
+    assert [got[k].risk_score for k in "abcde"] == [10, 100, 10, 0, 10]
+    assert got["b"].avg_delay_days == 2.5
+    assert got["e"].daily_revenue_exposure == 0
+    assert got["a"].quality_defect_rate == 0.02  # nothing there at all: the default
+    report = {(r.check, r.column): r.n for r in result.report.collect()}
+    assert report[("invalid_to_missing", "risk_score")] == 1
+    assert report[("missing_filled", "risk_score")] == 2
+    assert report[("invalid_to_missing", "avg_delay_days")] == 1
 
 
 RISK_ROW = {
@@ -131,3 +130,26 @@ def test_csv_round_trip_and_missing_texts(spark, tmp_path):
     assert got["S1"].supplier_name == "Acme, Inc" and got["S1"].location is None
     assert got["S2"].supplier_name == 'The "Best"' and got["S2"].risk_score is None
     assert "row_pos" in back.columns
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('supplier_name,supplier_id\n"Two\nLines",S2\nAcme,S1\n')
+    back = tables.read_csv_table(spark, str(tmp_path / "a.csv"), ["supplier_id", "supplier_name"], multi_line=True)
+    assert {(r.supplier_id, r.supplier_name) for r in back.collect()} == {("S2", "Two\nLines"), ("S1", "Acme")}
+    with pytest.raises(ValueError, match="location"):
+        tables.read_csv_table(spark, str(tmp_path / "a.csv"), ["supplier_id", "location"])
+
+
+def test_reports_lose_no_column(spark, tmp_path):
+    df = spark.sql("select 1 as a, named_struct('x', 2) as s, array(3) as arr, named_struct('f', 'p') as row_pos")
+    tables.write_report(df, str(tmp_path / "out"))
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert (row.a, row.s.x, row.arr) == (1, 2, [3]) and "row_pos" not in row.asDict()
+    with pytest.raises(ValueError, match="s, arr"):
+        tables.write_report(df, str(tmp_path / "csv"), fmt="csv")
+
+
+def test_equal_losses_name_the_least_id(spark):
+    rows = [("2", "b", "High", 5.0, "Storm", "act"), ("1", "a", "High", 5.0, "Storm", "act")]
+    summary = scoring.executive_summary(spark.createDataFrame(rows, SUMMARY)).first().summary
+    assert "The highest priority is a because" in summary

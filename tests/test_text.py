@@ -145,3 +145,11 @@ def test_severity(spark):
     assert one(spark, "lasting 20 days", severity) == round(20 / 30, 3)
     assert one(spark, "quiet", severity) == 0.35
     assert math.isclose(one(spark, "critical", severity), 1.0)
+
+
+def test_keywords_with_signs_are_plain_text(spark):
+    keywords = {"Trade": ("u.s.", "semi-conductor", "c++ (old)"), "Other": ("tariff",)}
+    rows = [("New u.s. rules",), ("the semi-conductor plant",), ("uxsx semi conductor",), ("in c++ (old) style",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [r.e.event_type for r in df.select(events.classify_event(F.col("t"), keywords).alias("e")).collect()]
+    assert got[0] == got[1] == got[3] == "Trade" and got[2] not in keywords
