@@ -26,6 +26,11 @@ HEADLINES = [
     "class_metrics",
     "tfidf_weights",
     "calibrated_logistic",
+    "near_duplicate_titles",
+    "entity_evaluation",
+    "risk_model_metrics",
+    "tree_importances",
+    "news_model_metrics",
 ]
 
 

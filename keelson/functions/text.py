@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -153,15 +153,110 @@ def normalized_name(column: Column, suffixes: Sequence[str] = COMPANY_SUFFIXES)
     return F.array_join(name_tokens(column, suffixes), " ")
 
 
+#: Pairs of strings whose blocks are searched at once.
+PAIRS_AT_ONCE = 256
+#: From this length on, letters of the second string that are more frequent than one in a hundred
+#: start no block (fixed values of the ratio).
+POPULAR_LENGTH, POPULAR_SHARE = 200, 100
+
+
+def _codes(texts: Sequence[str], filler: int) -> np.ndarray:
+    """Code points, one row per text, padded with ``filler``."""
+    table = np.full((len(texts), max(map(len, texts), default=0) or 1), filler, np.int32)
+    for row, text in zip(table, texts, strict=True):
+        row[: len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<i4")
+    return table
+
+
+def _longest_blocks(a: np.ndarray, b: np.ndarray, starts: np.ndarray):
+    """Size, row and column of the longest common run of each pair of rows.
+
+    Of equal runs the first in ``a`` counts, then the first in ``b``. ``starts`` says which places
+    of ``b`` may be part of a run.
+    """
+    pairs, width = b.shape
+    size, at_a, at_b = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+    run = np.zeros((pairs, width + 1), np.int32)
+    for i in range(a.shape[1]):
+        ahead = np.zeros_like(run)
+        ahead[:, 1:] = np.where((a[:, i : i + 1] == b) & starts, run[:, :-1] + 1, 0)
+        run = ahead
+        end = run.argmax(1)
+        found = run[np.arange(pairs), end]
+        longer = found > size
+        size[longer], at_a[longer], at_b[longer] = found[longer], (i + 1 - found)[longer], (end - found)[longer]
+    return size, at_a, at_b
+
+
+def _matched_letters(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """Letters in the matching blocks of each pair: the longest block, then left and right of it.
+
+    All pairs go on together: every round takes one block out of every open stretch.
+    """
+    a, b = _codes(left, -1), _codes(right, -2)
+    startable = np.ones(b.shape, bool)
+    for row, text, codes in zip(startable, right, b, strict=True):
+        if len(text) >= POPULAR_LENGTH:
+            letters, place, count = np.unique(codes[: len(text)], return_inverse=True, return_counts=True)
+            row[: len(text)] = (count <= len(text) // POPULAR_SHARE + 1)[place]
+    total = np.zeros(len(left), np.int64)
+    pair = np.arange(len(left))
+    a_from, b_from = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+    a_to, b_to = (np.array([len(t) for t in texts], np.int64) for texts in (left, right))
+    while True:
+        some = (a_from < a_to) & (b_from < b_to)
+        pair, a_from, a_to, b_from, b_to = (x[some] for x in (pair, a_from, a_to, b_from, b_to))
+        if not len(pair):
+            return total
+        rows = a_from[:, None] + np.arange((a_to - a_from).max())
+        columns = b_from[:, None] + np.arange((b_to - b_from).max())
+        in_a, in_b = rows < a_to[:, None], columns < b_to[:, None]
+        rows, columns = np.minimum(rows, a.shape[1] - 1), np.minimum(columns, b.shape[1] - 1)
+        own_a = np.where(in_a, a[pair[:, None], rows], -1)
+        own_b = np.where(in_b, b[pair[:, None], columns], -2)
+        size, at_a, at_b = _longest_blocks(own_a, own_b, startable[pair[:, None], columns])
+        at_a, at_b = at_a + a_from, at_b + b_from
+        while True:  # frequent letters start no block but may lengthen one
+            before = (at_a > a_from) & (at_b > b_from)
+            before &= a[pair, np.maximum(at_a - 1, 0)] == b[pair, np.maximum(at_b - 1, 0)]
+            at_a, at_b, size = at_a - before, at_b - before, size + before
+            after = (at_a + size < a_to) & (at_b + size < b_to)
+            ends_a, ends_b = np.minimum(at_a + size, a.shape[1] - 1), np.minimum(at_b + size, b.shape[1] - 1)
+            after &= a[pair, ends_a] == b[pair, ends_b]
+            size = size + after
+            if not (before.any() or after.any()):
+                break
+        np.add.at(total, pair, size)
+        hit = size > 0
+        pair = np.concatenate((pair[hit], pair[hit]))
+        a_from, a_to = (
+            np.concatenate((a_from[hit], (at_a + size)[hit])),
+            np.concatenate((at_a[hit], a_to[hit])),
+        )
+        b_from, b_to = (
+            np.concatenate((b_from[hit], (at_b + size)[hit])),
+            np.concatenate((at_b[hit], b_to[hit])),
+        )
+
+
+def block_ratios(left: Sequence[str], right: Sequence[str]) -> list[float]:
+    """Twice the letters in matching blocks, over all letters; 1 for two empty strings."""
+    ratios: list[float] = []
+    for at in range(0, len(left), PAIRS_AT_ONCE):
+        a, b = left[at : at + PAIRS_AT_ONCE], right[at : at + PAIRS_AT_ONCE]
+        for x, y, matched in zip(a, b, _matched_letters(a, b).tolist(), strict=True):
+            ratios.append(2.0 * matched / (len(x) + len(y)) if x or y else 1.0)
+    return ratios
+
+
 @pandas_udf(ArrayType(DoubleType()))
 def _matching_ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+    rows = [None if a is None or b is None else list(zip(a, b, strict=True)) for a, b in zip(left, right, strict=True)]
+    # Equal strings need no search.
+    todo = [(a, b) for row in rows if row is not None for a, b in row if a != b]
+    found = iter(block_ratios([a for a, _ in todo], [b for _, b in todo]))
     return pd.Series(
-        [
-            None
-            if pairs_a is None or pairs_b is None
-            else [SequenceMatcher(None, a, b).ratio() for a, b in zip(pairs_a, pairs_b, strict=True)]
-            for pairs_a, pairs_b in zip(left, right, strict=True)
-        ],
+        [None if row is None else [1.0 if a == b else next(found) for a, b in row] for row in rows],
         dtype="object",
     )
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from keelson.functions.lexicons import COMPANY_SUFFIXES
-from keelson.operators.evaluation import sweep_thresholds
-from keelson.plans.queries import DIGITS
 from keelson.sources.driver_tables import DOC_EVENTS, DOC_NEGATIONS, DOC_SEVERITY, DOC_TERMS
 
 ORACLES: dict[str, str] = {}
@@ -97,7 +94,7 @@ def signal(column: str) -> str:
 def name_words(column: str) -> str:
     return (
         f"list_filter(string_split_regex(regexp_replace(lower(coalesce({column}, '')), "
-        f"'[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x NOT IN ({quoted(['', *COMPANY_SUFFIXES])}))"
+        f"'[^a-z0-9 ]', ' ', 'g'), ' +'), lambda x: x NOT IN ('', 'limited', 'ltd', 'inc', 'corp', 'corporation', 'company', 'co'))"
     )
 
 
@@ -374,8 +371,106 @@ pairs AS (
     upper(c.p_name[1]) || regexp_extract(c.p_name, '^.([^ ]*)', 1) || ' '
       || upper(split_part(c.p_name, ' ', 2)[1]) || substring(split_part(c.p_name, ' ', 2), 2) AS candidate_name,
     c.p_type || ', depot' AS candidate_location, m.p_type || ', ' || m.p_brand AS context_location,
-    c.p_type AS ct, m.p_type AS mt, c.p_name AS cn, m.p_name AS mn
+    c.p_type AS ct, m.p_type AS mt, c.p_name AS cn, m.p_name AS mn, c.p_brand AS cb
   FROM part m JOIN part c ON m.p_partkey = c.p_partkey + 1)"""
+
+
+def longest_block(a: str, b: str) -> str:
+    """Size and (negative) places of the longest common run, the first one of equal ones."""
+    size = (
+        f"CASE WHEN {a}[i] = {b}[j] THEN list_max([q for q in range(1, least(len({a}) - i, len({b}) - j) + 2) "
+        f"if substr({a}, i, q) = substr({b}, j, q)]) ELSE 0 END"
+    )
+    inner = f"[struct_pack(n := {size}, i := -i, j := -j) for j in range(1, len({b}) + 1)]"
+    return f"list_max(flatten([{inner} for i in range(1, len({a}) + 1)]))"
+
+
+def block_ratio(source: str) -> str:
+    """``ratio`` per key ``k`` of ``source`` (k, a, b): blocks are taken out of stretches, in turn."""
+    return f"""
+seg(k, a, b, m) AS (
+  SELECT k, a, b, {longest_block("a", "b")} FROM {source} WHERE a <> b AND a <> '' AND b <> ''
+  UNION ALL
+  SELECT k, part.a, part.b, {longest_block("part.a", "part.b")}
+  FROM (SELECT k, unnest([
+      struct_pack(a := substr(a, 1, -m.i - 1), b := substr(b, 1, -m.j - 1)),
+      struct_pack(a := substr(a, -m.i + m.n), b := substr(b, -m.j + m.n))]) AS part
+    FROM seg WHERE m.n > 0)
+  WHERE part.a <> '' AND part.b <> ''),
+blocks AS (SELECT k, sum(m.n) AS n FROM seg GROUP BY k),
+ratios AS (
+  SELECT s.k, CASE WHEN a = b THEN 1.0::DOUBLE
+    ELSE 2.0::DOUBLE * coalesce(n, 0) / (len(a) + len(b)) END AS ratio
+  FROM {source} s LEFT JOIN blocks USING (k))"""
+
+
+ORACLES["name_similarities"] = f"""WITH RECURSIVE {PAIRS},
+named AS MATERIALIZED (SELECT case_id AS k, {name("mention")} AS a, {name("candidate_name")} AS b FROM pairs),
+{block_ratio("named")}
+SELECT k AS case_id, ratio AS similarity FROM ratios"""
+RESOLVED = f"""WITH RECURSIVE {PAIRS},
+spelled AS MATERIALIZED (
+  SELECT case_id, mention, unnest([candidate_name, cb, cn || ' Inc']) AS spelling, unnest([0, 1, 2]) AS nth FROM pairs),
+named AS MATERIALIZED (
+  SELECT case_id * 3 + nth AS k, case_id, spelling, {name("mention")} AS a, {name("spelling")} AS b FROM spelled),
+{block_ratio("named")},
+best AS (
+  SELECT case_id, max(struct_pack(similarity := ratio, spelling := spelling)) AS best
+  FROM named JOIN ratios USING (k) GROUP BY case_id),
+places AS (
+  SELECT case_id, list_distinct({name_words("context_location")}) AS ctx, {name_words("candidate_location")} AS cand FROM pairs),
+resolved AS MATERIALIZED (
+  SELECT case_id, best.spelling AS best_alias,
+    -- Formatting rounds by the exact binary value, as the engine does.
+    CAST(format('{{:.4f}}', 0.85::DOUBLE * best.similarity + 0.15::DOUBLE *
+      CASE WHEN len(ctx) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(ctx, cand))::DOUBLE / len(ctx) END) AS DOUBLE) AS resolver_score
+  FROM best JOIN places USING (case_id))"""
+ORACLES["resolved_entities"] = RESOLVED + """
+SELECT case_id, resolver_score >= 0.78 AS matched, resolver_score, best_alias FROM resolved"""
+
+
+def f1_of(precision: str, recall: str) -> str:
+    return (
+        f"CASE WHEN {precision} + {recall} > 0 THEN 2 * {precision} * {recall} / ({precision} + {recall}) "
+        "ELSE 0.0::DOUBLE END"
+    )
+
+
+JUDGED = f"""{RESOLVED},
+judged AS MATERIALIZED (
+  SELECT p.*, resolver_score, {name("mention")} = {name("candidate_name")} AS same,
+    CASE WHEN {name("mention")} = {name("candidate_name")} OR mt = ct THEN 1 ELSE 0 END AS expected
+  FROM pairs p JOIN resolved USING (case_id)),
+grid AS (SELECT unnest([0.68::DOUBLE, 0.72, 0.76, 0.80, 0.84, 0.88, 0.92]) AS threshold),
+counted AS (
+  SELECT threshold,
+    count(*) FILTER (resolver_score >= threshold AND expected = 1)::DOUBLE
+      / greatest(count(*) FILTER (resolver_score >= threshold), 1) AS p,
+    count(*) FILTER (resolver_score >= threshold AND expected = 1)::DOUBLE
+      / greatest(count(*) FILTER (expected = 1), 1) AS r
+  FROM judged, grid WHERE case_id % 3 = 1 GROUP BY threshold),
+tuned AS (SELECT threshold, p, r, {f1_of("p", "r")} AS f FROM counted),
+chosen AS (SELECT threshold AS t FROM tuned ORDER BY f DESC, p DESC, threshold DESC LIMIT 1)"""
+ORACLES["entity_thresholds"] = JUDGED + """
+SELECT threshold, p AS "precision", r AS recall, f AS f1 FROM tuned"""
+ORACLES["entity_evaluation"] = JUDGED + f""",
+said AS (
+  SELECT expected, unnest(['Exact-name baseline', 'Alias + fuzzy + location']) AS method,
+    unnest([same::INTEGER, (resolver_score >= t)::INTEGER]) AS predicted
+  FROM judged, chosen WHERE case_id % 3 = 2),
+shares AS (
+  SELECT method, count(*) FILTER (predicted = 1 AND expected = 1)::DOUBLE / greatest(count(*) FILTER (predicted = 1), 1) AS p,
+    count(*) FILTER (predicted = 1 AND expected = 1)::DOUBLE / greatest(count(*) FILTER (expected = 1), 1) AS r,
+    count(*) FILTER (predicted <> expected) AS errors, count(*) AS test_rows
+  FROM said GROUP BY method)
+SELECT method, p AS "precision", r AS recall, {f1_of("p", "r")} AS f1, errors, test_rows,
+  CASE WHEN method = 'Alias + fuzzy + location' THEN t END AS selected_threshold
+FROM shares, chosen"""
+ORACLES["entity_errors"] = JUDGED + """
+SELECT mention, candidate_name, context_location, expected AS expected_match,
+  (resolver_score >= t)::INTEGER AS resolver_prediction, resolver_score,
+  CASE WHEN same THEN 'same name' ELSE 'other name' END AS challenge
+FROM judged, chosen WHERE case_id % 3 = 2 AND (resolver_score >= t)::INTEGER <> expected"""
 ORACLES["location_overlaps"] = f"""WITH {PAIRS},
 w AS (SELECT case_id, list_distinct({name_words("context_location")}) AS ctx, {name_words("candidate_location")} AS cand FROM pairs)
 SELECT case_id, round(CASE WHEN len(ctx) = 0 THEN 0.0::DOUBLE
@@ -501,8 +596,12 @@ FEATURE_NAMES = [
     "delay_trend_3m", "on_time_rolling_mean_3m", "defect_rolling_mean_3m", "external_event_max_3m",
     "risk_rolling_mean_3m", "month_sin", "month_cos",
 ]
+SEVEN_DIGITS = (
+    "avg_delay_days", "risk_score", "delay_lag_1m", "delay_rolling_mean_3m", "delay_rolling_std_3m",
+    "delay_trend_3m", "risk_rolling_mean_3m",
+)
 ORACLES["time_features"] = f"""WITH {HISTORY}, {FEATURED}
-SELECT supplier_id, observation_date, {", ".join(f"round({c}, {DIGITS.get(c, 9)}) AS {c}" for c in FEATURE_NAMES)} FROM featured"""
+SELECT supplier_id, observation_date, {", ".join(f"round({c}, {7 if c in SEVEN_DIGITS else 9}) AS {c}" for c in FEATURE_NAMES)} FROM featured"""
 
 # --- evaluation -------------------------------------------------------------------------------
 BINARY = """
@@ -545,7 +644,8 @@ SELECT probability_band, error_type, count(*) AS n FROM outcomes GROUP BY 1, 2""
 ORACLES["risk_errors"] = f"""WITH {OUTCOMES}
 SELECT supplier_name, DATE '2026-01-01' + CAST(doc_id % 200 AS INTEGER) AS observation_date, actual,
   round(probability, 9) AS probability, error_type, probability_band FROM outcomes WHERE error_type <> 'Correct'"""
-GRID = ", ".join(f"{t!r}::DOUBLE" for t in sweep_thresholds())
+# 0.15, 0.20, … 0.85, each the first one plus so many equal steps in doubles.
+GRID = ", ".join(f"(0.15::DOUBLE + {i} * ((0.15::DOUBLE + 0.05::DOUBLE) - 0.15::DOUBLE))" for i in range(15))
 
 
 def sweep(miss: float, alarm: float) -> str:
