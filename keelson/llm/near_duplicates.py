@@ -11,8 +11,9 @@ Groups of any size are met without listing their pairs:
 2. In every bucket all members are compared with one random member. The confirmed links join
    most of each group of near copies into one component.
 3. What is left are members of one bucket in different components. Those buckets, in blocks of
-   bounded size, are compared signature by signature inside tasks, and only pairs across
-   components that may reach the threshold come out, to be confirmed too.
+   bounded size, are compared signature by signature inside tasks. Members with a candidate in
+   another component come again with their full sets and are compared exactly, inside tasks
+   again; only links come out, one per member and component.
 """
 
 from __future__ import annotations
@@ -228,84 +229,130 @@ def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _blocked_pairs(members: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Promising pairs across components within buckets: columns ``u`` and ``v``.
+_GROUP = ["bucket", "low", "high"]
+_MEMBER = (
+    "bucket long, low long, high long, block long, node long, component long, n_shingles long, "
+    "signature array<long>, bands array<long>"
+)
+
 
-    ``members`` has bucket, node, component, n_shingles and signature; ``blocks`` has bucket and
-    its number of blocks. Every two blocks of a bucket meet in one group of bounded size.
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of sorted batches again, cut only where a group ends."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        # The last group may go on in the next batch.
+        same = np.ones(len(table), bool)
+        for column in _GROUP:
+            values = table[column].to_numpy()
+            same &= values == values[-1]
+        cut = int(np.argmax(same))
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        rest = table.slice(cut)
+    if rest is not None:
+        yield rest.combine_chunks()
+
+
+def _lists(table: pa.Table, column: str, width: int) -> np.ndarray:
+    return table[column].combine_chunks().flatten().to_numpy().reshape(-1, width)
+
+
+def _candidates(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row the later rows of its group that it may link across components.
+
+    Sizes and signatures must leave the threshold in reach, and the group's bucket must be the
+    first one that both rows share, so that a pair of documents comes up once.
+    """
+    bucket, low, high, block, node, component, sizes = (
+        table[c].to_numpy()
+        for c in (*_GROUP, "block", "node", "component", "n_shingles")
+    )
+    packed = _lists(table, "signature", HASHES * BITS // 64).view(np.uint64)
+    bands = _lists(table, "bands", BANDS)
+    new = np.zeros(len(table), bool)
+    for column in (bucket, low, high):
+        new[1:] |= column[1:] != column[:-1]
+    cuts = np.concatenate(([0], np.flatnonzero(new), [len(table)]))
+    for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+        one_block = low[start] == high[start]
+        for i in range(start, stop):
+            others = slice(i + 1, stop)
+            fits = component[others] != component[i]
+            if not one_block:
+                fits &= block[others] != block[i]
+            least = np.minimum(sizes[others], sizes[i])
+            fits &= 100 * least >= PERCENT * np.maximum(sizes[others], sizes[i])
+            at = np.flatnonzero(fits) + i + 1
+            if len(at):
+                at = at[estimated_similarity(packed[at], packed[i]) >= LEAST_ESTIMATE]
+            if len(at):
+                shared = bands[at] == bands[i]
+                at = at[bands[i][shared.argmax(1)] == bucket[start]]
+            if len(at):
+                yield i, at
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+
+def _links_across(members: DataFrame, blocks: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (u, v) across components within buckets, at least one for any two that have some.
+
+    ``members`` has bucket, node, component, n_shingles, signature and bands; ``blocks`` has
+    bucket and its number of blocks. Every two blocks of a bucket meet in one group of bounded
+    size. Signatures tell which members have a candidate at all; only these come again with their
+    full sets, and the candidates are compared inside the tasks. No pairs are listed.
     """
-    width = HASHES * BITS // 64
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def pairs_of(table: pa.Table) -> pa.RecordBatch:
-            table = table.combine_chunks()
-            group = [table[c].to_numpy() for c in ("bucket", "low", "high")]
-            new = np.zeros(len(table), bool)
-            for column in group:
-                new[1:] |= column[1:] != column[:-1]
-            cuts = np.concatenate(([0], np.flatnonzero(new), [len(table)]))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            wanted = np.zeros(len(table), bool)
+            for i, at in _candidates(table):
+                wanted[i] = True
+                wanted[at] = True
+            yield from table.filter(pa.array(wanted)).to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
             node, component = table["node"].to_numpy(), table["component"].to_numpy()
-            sizes, block = table["n_shingles"].to_numpy(), table["block"].to_numpy()
-            words = table["signature"].combine_chunks().flatten().to_numpy().view(np.uint64)
-            packed = words.reshape(-1, width)
+            shingles = table["shingles"].combine_chunks()
+            edges = shingles.offsets.to_numpy() - shingles.offsets[0].as_py()
+            flat = shingles.flatten().to_numpy().view(np.uint64)
             us, vs = [], []
-            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-                one_block = group[1][start] == group[2][start]
-                for i in range(start, stop):
-                    if one_block:
-                        others = slice(i + 1, stop)
-                    elif block[i] == group[1][i]:
-                        others = slice(start, stop)
-                    else:
-                        continue
-                    fits = component[others] != component[i]
-                    if not one_block:
-                        fits &= block[others] != block[i]
-                    low = np.minimum(sizes[others], sizes[i])
-                    fits &= 100 * low >= PERCENT * np.maximum(sizes[others], sizes[i])
-                    at = np.flatnonzero(fits) + others.start
-                    if len(at):
-                        near = at[estimated_similarity(packed[at], packed[i]) >= LEAST_ESTIMATE]
-                        us.append(np.full(len(near), node[i]))
-                        vs.append(node[near])
+            for i, at in _candidates(table):
+                own = flat[edges[i] : edges[i + 1]]
+                counts = edges[at + 1] - edges[at]
+                begins = np.cumsum(counts) - counts
+                take = np.repeat(edges[at] - begins, counts) + np.arange(counts.sum())
+                other = flat[take]
+                place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                common = np.add.reduceat((own[place] == other).astype(np.int64), begins)
+                linked = at[100 * common >= PERCENT * (len(own) + counts - common)]
+                # One link to a component is as good as all.
+                linked = linked[np.unique(component[linked], return_index=True)[1]]
+                us.append(np.full(len(linked), node[i]))
+                vs.append(node[linked])
             u = np.concatenate(us) if us else np.zeros(0, np.int64)
             v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"]
-            )
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            # The last group may go on in the next batch.
-            tail = [table[c][len(table) - 1].as_py() for c in ("bucket", "low", "high")]
-            same = np.ones(len(table), bool)
-            for column, value in zip(("bucket", "low", "high"), tail, strict=True):
-                same &= table[column].to_numpy() == value
-            cut = int(np.argmax(same))
-            if cut:
-                yield pairs_of(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None and len(rest):
-            yield pairs_of(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     dealt = (
         members.join(blocks, "bucket")
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        .select(*_GROUP, "block", "node", "component", "n_shingles", "signature", "bands")
     )
-    order = ["bucket", "low", "high"]
-    return (
-        dealt.repartition(*order)
-        .sortWithinPartitions(*order)
-        .select(*order, "block", "node", "component", "n_shingles", "signature")
-        .mapInArrow(compare, "u long, v long")
-        .distinct()
-    )
+    marked = store(_dealt(dealt).mapInArrow(mark, _MEMBER))
+    sets = store(_full_sets(docs, marked.select(F.col("node").alias("id")).distinct(), key, text))
+    rows = marked.join(sets.withColumnRenamed("id", "node"), "node").select(*marked.columns, "shingles")
+    return _dealt(rows).mapInArrow(confirm, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,9 +406,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .select("bucket", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     )
     open_members = placed.select("bucket", "node", "component").join(
-        classes.select("node", "n_shingles", "signature"), "node"
+        classes.select("node", "n_shingles", "signature", "bands"), "node"
     )
-    last_links = _confirmed(docs, store(_blocked_pairs(open_members, mixed)), key, text)
+    last_links = _links_across(open_members, mixed, docs, key, text)
     found = connected_components(links.union(last_links))
 
     component = classes.drop("signature", "bands").join(found, "node", "left")
