@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Where set, small tables of long texts are dealt to so many partitions when read. A cluster
+#: leaves it unset: its tables have many files.
+READ_PARTITIONS = "spark.keelson.readPartitions"
+
+
 def local_session(
     app: str = "keelson", cores: str = "*", partitions: int = 8, memory: str = "16g"
 ) -> SparkSession:
@@ -20,6 +25,8 @@ def local_session(
         .config("spark.sql.adaptive.enabled", "true")
         # Small tables here can still be much work per row: keep all cores busy.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config(READ_PARTITIONS, str(partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.text import normalized_name, text_array
+from keelson.session import READ_PARTITIONS
 
 AS_OF = "2026-09-10T00:00:00+00:00"
 
@@ -27,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts; if they come in fewer splits than there are cores, spread over the cores."""
+    """The texts; dealt to as many partitions as the session asks for, as they are if it does not."""
     docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    partitions = spark.conf.get(READ_PARTITIONS, None)
+    return docs.repartition(int(partitions)) if partitions else docs
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
