@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,9 @@ def _remove_scratch() -> None:
         context = spark.sparkContext
         if context._jsc is None or context._jsc.sc().isStopped():
             continue
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        with contextlib.suppress(Py4JError, OSError):  # the session may be going down
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fold_of(key: Column, folds: int) -> Column:

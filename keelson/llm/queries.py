@@ -84,5 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
 }
-#: SQL for the operators that SQL can express.
-ORACLES: dict[str, str] = {}
