@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.operators import features, matching, prefix, quantiles, similarity
 from keelson.operators.evaluation import probability_metrics, reliability_curve
@@ -134,7 +135,7 @@ def test_sliced_windows_equal_plain_windows(spark):
 
 def test_equal_dates_follow_the_row_order(spark):
     rows = [("S", "2020-01-01", float(v), 1.0, 1.0, 1.0, 1.0, v) for v in (5, 3, 9, 1, 7)]
-    df = spark.createDataFrame(rows, history(spark).schema.add("at", "int")).repartition(3)
+    df = spark.createDataFrame(rows, history(spark).schema.add("at", T.IntegerType())).repartition(3)
     for _ in range(2):
         got = features.add_time_aware_features(df, order="at").orderBy("at").collect()
         assert [r.delay_lag_1m for r in got] == [None, 1.0, 3.0, 5.0, 7.0]
