@@ -10,8 +10,6 @@ inner products in double precision.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -229,7 +227,7 @@ def search_index(index: DataFrame, queries: DataFrame, key: str, vector: str, ne
     shards = 0 if shards is None else shards + 1
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
 
-    def search(nodes: pd.DataFrame, block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def search(nodes: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"}
         )
