@@ -9,6 +9,7 @@ blocked matrix products, and its nearest labels vote with weights that grow with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,8 @@ TRAINING_ROWS = 4_096
 #: Hashed terms, latent dimensions, voting neighbours, and the power that sharpens a cosine.
 TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 2_048, 64, 32, 8
 THRESHOLD = 0.7
+#: Labelled rows that the driver unpacks at once while fitting.
+ROWS_AT_ONCE = 256
 #: How far back a word is looked for to count as returning.
 LOOK_BACK = 8
 
@@ -143,17 +146,28 @@ def fit_quality_model(
     if not len(table):
         empty = np.zeros((0, DIMENSIONS), np.float32)
         return QualityModel(np.ones(TERMS), np.zeros((TERMS, DIMENSIONS), np.float32), empty, np.zeros(0))
-    raw = b"".join(table["counts"].to_pylist())
-    counts = np.frombuffer(raw, "<u4").reshape(len(table), TERMS)
-    held_by = (counts > 0).sum(0)
-    term_weights = np.log((1 + len(counts)) / (1 + held_by)) + 1
-    weighted = _weighted(counts, term_weights)
+    labels_of = table["label"].to_numpy().astype(np.float64)
+
+    def blocks() -> Iterator[np.ndarray]:
+        # The driver never holds more than one block of counts beside the packed rows.
+        for at in range(0, len(table), ROWS_AT_ONCE):
+            raw = b"".join(table["counts"].slice(at, ROWS_AT_ONCE).to_pylist())
+            yield np.frombuffer(raw, "<u4").reshape(-1, TERMS)
+
+    held_by = sum((counts > 0).sum(0) for counts in blocks())
+    term_weights = np.log((1 + len(table)) / (1 + held_by)) + 1
+    products = np.zeros((TERMS, TERMS))
+    for counts in blocks():
+        weighted = _weighted(counts, term_weights)
+        products += weighted.T @ weighted
     # The right singular vectors are the eigenvectors of the term-by-term product.
-    _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    projection = vectors[:, ::-1][:, :DIMENSIONS].astype(np.float32)
-    return QualityModel(
-        term_weights, projection, _unit(weighted @ projection), table["label"].to_numpy().astype(np.float64)
-    )
+    _, vectors = np.linalg.eigh(products)
+    projection = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS], np.float32)
+    latent = [_unit(_weighted(counts, term_weights) @ projection) for counts in blocks()]
+    model = QualityModel(term_weights, projection, np.concatenate(latent), labels_of)
+    del table
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _votes(rows: np.ndarray, model: QualityModel) -> np.ndarray:
