@@ -3,7 +3,9 @@
 Every page becomes a small DOM. For each node, characters per tag are adjusted by the share of
 link text; a node's density sum is the sum over its children. The subtree with the largest density
 sum is the core of the article, and the least density on its path to the body is the threshold
-that tells article blocks around the core from page furniture.
+that tells article blocks around the core from page furniture. Blocks anywhere in the body that are
+as dense as that, or as the usual block of the core, belong to the article, and so do the headings
+before them.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from statistics import median_low
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,6 +68,7 @@ _MARKED = re.compile(
     re.I,
 )
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Containers that may go if they are links mostly; a single paragraph never does.
 _CONTAINERS = set("div ul ol dl table section".split())
 
@@ -169,8 +173,18 @@ class _Page:
         del self._open[depth:]
 
 
-def _densities(page: _Page, hidden: list[bool]) -> tuple[list[float], list[float], list[float]]:
-    """Composite density, sum of the children's densities, and link share of every node."""
+def _composite(chars: int, links: int, tags: int, link_tags: int, overall: float) -> float:
+    """Characters per tag, weighted by how few of them are links."""
+    base = math.log(chars / max(chars - links, 1) * links + overall * chars + math.e)
+    ratio = chars / max(links, 1) * tags / link_tags
+    return chars / tags * math.log(max(ratio, 1.0)) / max(base, 1.0)
+
+
+def _densities(
+    page: _Page, hidden: list[bool]
+) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Composite density, sum of the children's densities, characters and link characters of
+    every node."""
     size = len(page.tags)
     chars, links, tags, link_tags = [0] * size, [0] * size, [0] * size, [0] * size
     in_link = [False] * size
@@ -193,14 +207,13 @@ def _densities(page: _Page, hidden: list[bool]) -> tuple[list[float], list[float
     overall = links[0] / max(chars[0], 1)
     density, sums = [0.0] * size, [0.0] * size
     for node in range(size - 1, -1, -1):
-        c, lc, t, lt = chars[node], links[node], max(tags[node], 1), max(link_tags[node], 1)
-        if c and not hidden[node]:
-            base = math.log(c / max(c - lc, 1) * lc + overall * c + math.e)
-            ratio = c / max(lc, 1) * t / lt
-            density[node] = c / t * math.log(max(ratio, 1.0)) / max(base, 1.0)
+        if chars[node] and not hidden[node]:
+            density[node] = _composite(
+                chars[node], links[node], max(tags[node], 1), max(link_tags[node], 1), overall
+            )
         if node:
             sums[page.parents[node]] += density[node]
-    return density, sums, [links[i] / max(chars[i], 1) for i in range(size)]
+    return density, sums, chars, links
 
 
 def main_text(source: str) -> str:
@@ -210,7 +223,7 @@ def main_text(source: str) -> str:
     hidden = page.dropped[:]
     for node in range(1, size):
         hidden[node] = hidden[node] or hidden[page.parents[node]]
-    density, sums, link_share = _densities(page, hidden)
+    density, sums, chars, links = _densities(page, hidden)
     core = max(range(size), key=lambda i: (sums[i], -i))
     if sums[core] == 0:  # text without any element around it
         core = 0
@@ -219,35 +232,88 @@ def main_text(source: str) -> str:
         path.append(page.parents[path[-1]])
     threshold = min(density[i] for i in path)
     # The whole article: up to the outermost article or main element on the path, else up to
-    # the child of the body.
+    # the child of the body; further blocks of the body by their density.
     named = [i for i in path if page.tags[i] in ("article", "main")]
     below = [i for i in path if i and page.tags[i] not in ("body", "html")]
     root = named[-1] if named else below[-1] if below else path[-1]
     on_path = set(path)
+    above = set(path[path.index(root) + 1 :])
+    # Larger blocks are denser by the logarithm alone; a block as dense as the core's usual one
+    # is article text too.
+    usual = [density[i] for i in range(size) if page.parents[i] == core and density[i] > 0]
+    enough = min(threshold, median_low(usual)) if usual else threshold
+    in_body = [False] * size
     shown = [False] * size
     for node in range(size):
-        inside = node == root or node > 0 and shown[page.parents[node]]
+        parent = page.parents[node]
+        in_body[node] = node == path[-1] or node > 0 and in_body[parent]
+        inside = node == root or node > 0 and shown[parent]
+        beside = in_body[node] and node not in above and density[node] >= enough > 0
         furniture = (
             node not in on_path
             and page.tags[node] in _CONTAINERS
             and density[node] < threshold
-            and link_share[node] > 0.5
+            and links[node] > 0.5 * chars[node]
         )
-        shown[node] = inside and not hidden[node] and not furniture
-    blocks, current = [], []
-    for node, text in page.events:
-        if not shown[node]:
+        shown[node] = (inside or beside) and not hidden[node] and not furniture
+    _show_headings(page, shown, hidden, in_body, above, chars)
+    overall = links[0] / max(chars[0], 1)
+    lines = []
+    block: list[tuple[int, str]] = []
+    for node, text in [*page.events, (0, None)]:
+        if text is not None:
+            if not hidden[node]:
+                block.append((node, text))
             continue
-        if text is None:
-            blocks.append(current)
-            current = []
-        else:
-            current.append(text)
-    blocks.append(current)
-    lines = (" ".join("".join(block).split()) for block in blocks)
+        if any(shown[i] for i, _ in block) or _is_loose_text(page, block, above, overall, enough):
+            lines.append(" ".join("".join(own for _, own in block).split()))
+        block = []
     return "\n".join(line for line in lines if line)
 
 
+def _show_headings(page: _Page, shown, hidden, in_body, above, chars) -> None:
+    """Show the headings, alone or in a wrapper of their own, that come before a shown block."""
+    size = len(page.tags)
+    titles = [0] * size
+    for node in range(size - 1, 0, -1):
+        if not hidden[node]:
+            if page.tags[node] in _HEADINGS:
+                titles[node] = chars[node]
+            titles[page.parents[node]] += titles[node]
+    followed = [False] * size  # by a shown block, among the later children of the same parent
+    for node in range(size - 1, 0, -1):
+        parent = page.parents[node]
+        if shown[node] or node in above:
+            followed[parent] = True
+        elif followed[parent] and in_body[node] and 0 < chars[node] == titles[node]:
+            shown[node] = True
+    for node in range(1, size):
+        # What a heading or its wrapper holds.
+        if shown[page.parents[node]] and chars[page.parents[node]] == titles[page.parents[node]]:
+            shown[node] = shown[node] or not hidden[node]
+
+
+def _is_loose_text(page: _Page, block, above: set[int], overall: float, enough: float) -> bool:
+    """Whether a run of text directly in an ancestor of the article is as dense as its blocks."""
+    inline, links = set(), 0
+    length = 0
+    for node, text in block:
+        size = len(" ".join(text.split()))
+        length += size
+        linked = False
+        while node not in above:
+            if page.tags[node] in _BLOCK or not node:
+                return False
+            inline.add(node)
+            linked = linked or page.tags[node] == "a"
+            node = page.parents[node]
+        links += size * linked
+    if not length or enough <= 0:
+        return False
+    link_tags = sum(page.tags[node] == "a" for node in inline)
+    return _composite(length, links, max(len(inline), 1), max(link_tags, 1), overall) >= enough
+
+
 def extract_text(pages: DataFrame, source: str = "html") -> DataFrame:
     """All columns plus ``text`` (the main text) and ``n_chars`` (its code points).
 

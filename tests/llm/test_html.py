@@ -47,6 +47,28 @@ def test_small_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = [f"Part {i}: " + "word " * 19 + "end." for i in range(10)]
+FIVE, MORE = ("".join(f"<p>{p}</p>" for p in part) for part in (LONG[:5], LONG[5:]))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><h1>Title</h1><div>{FIVE}</div></body>", ["Title", *LONG[:5]]),
+        (f"<body><div><h1>Title</h1></div><p>By me</p><div>{FIVE}</div></body>", ["Title", *LONG[:5]]),
+        (f"<body><div>{FIVE}</div><div>{MORE}</div></body>", LONG),
+        (f"<body><div>{FIVE}</div><div><p>{LONG[5]}</p></div></body>", LONG[:6]),
+        (f"<body><article>{FIVE}</article><article>{MORE}</article></body>", LONG),
+        (f"<body><div><article>{FIVE}</article><div>Top</div><article>{MORE}</article></div>", LONG),
+        (f"<body><h2>A</h2><div>{FIVE}</div><h2>B</h2><div>{MORE}</div>", ["A", *LONG[:5], "B", *LONG[5:]]),
+        (f"<body><div>{FIVE}</div>{LONG[5]}<div>(c) us</div>", LONG[:6]),
+        (f"<body><div>{FIVE}</div><h3>More</h3><ul><li><a href=1>Other news of today</a></ul>", LONG[:5]),
+    ],
+)
+def test_text_beside_the_densest_container(page, want):
+    assert html_text.main_text(page) == "\n".join(want)
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 5_000 + "deep") == "deep"
     long = "<article>" + "<p>word word word</p>" * 20_000 + "</article>"
