@@ -57,7 +57,10 @@ _ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-#: Words in class, id and role names that mark page furniture.
+#: Elements whose name may mark them as page furniture; headings, paragraphs, list items, cells and
+#: inline elements are never judged by a name.
+_NAMED = set("div section article ul ol dl dir table center details header hgroup figure".split())
+#: Words that mark a name of class, id or role as one of page furniture, perhaps.
 _MARKED = re.compile(
     r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|advert\w*|adsense|adslot|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|"
     r"notices?|alert|newsletter|subscri\w+|signup|paywall|popup|modal|overlay|sidebar|side-bar|"
@@ -67,6 +70,17 @@ _MARKED = re.compile(
     r"skip-link)(?:$|[\s_-])",
     re.I,
 )
+#: Whole class, id or role names (one or more of them) that mean nothing but page furniture.
+_CERTAIN = re.compile(
+    r"(?:\s*(?:ads?|advert|advertisement|adsense|adslot|banner|ad-banner|cookie-?(?:notice|banner|bar|consent)|"
+    r"newsletter|newsletter-signup|paywall|popup|modal|overlay|sidebar|side-bar|menu|main-menu|nav|navbar|"
+    r"navigation|main-nav|breadcrumbs?|toolbar|pagination|pager|comments?|comment-list|commentlist|"
+    r"disqus_thread|footer|site-footer|page-footer|masthead|site-header|top-bar|topbar|complementary|contentinfo|"
+    r"skip-link)(?:\s+|$))+",
+    re.I,
+)
+#: Density sums inside a perhaps marked container count by this share when the core is chosen.
+_MARKED_SHARE = 0.5
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Containers that may go if they are links mostly; a single paragraph never does.
@@ -78,6 +92,8 @@ class _Page:
 
     def __init__(self, source: str) -> None:
         self.tags, self.parents, self.dropped = ["#page"], [0], [False]
+        #: By name: perhaps furniture, and certainly so.
+        self.marked, self.certain = [False], [False]
         self.events: list[tuple[int, str | None]] = []
         self._open = [0]
         self._read(source)
@@ -131,6 +147,12 @@ class _Page:
         self.tags.append(tag)
         self.parents.append(parent)
         self.dropped.append(self._is_furniture(tag, attributes))
+        marked, certain = self._named_as_furniture(tag, attributes)
+        self.marked.append(marked)
+        self.certain.append(certain)
+        if tag == "main":  # a container of the main element is no furniture, whatever its name
+            for above in self._open:
+                self.certain[above] = False
         if tag in _BLOCK:
             self.events.append((node, None))
         elif tag in ("br", "td", "th", "img", "wbr"):
@@ -151,13 +173,23 @@ class _Page:
             name, value = name.lower(), "".join(values)
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return True
-            if name == "style":
-                if _HIDDEN.search(value):
-                    return True
-            elif _MARKED.search(value):
+            if name == "style" and _HIDDEN.search(value):
                 return True
         return False
 
+    def _named_as_furniture(self, tag: str, attributes: str) -> tuple[bool, bool]:
+        """Whether class, id or role hold a word of page furniture, and whether one is such a name."""
+        marked = certain = False
+        if attributes and tag in _NAMED:
+            for name, *values in _ATTRIBUTE.findall(attributes):
+                name, value = name.lower(), "".join(values)
+                if name in ("class", "id", "role") and _MARKED.search(value):
+                    marked = True
+                    # Ids of sections are often made from their headings.
+                    slug = name == "id" and tag == "section"
+                    certain = certain or not slug and _CERTAIN.fullmatch(value) is not None
+        return marked, certain
+
     def _close(self, tag: str) -> None:
         for depth in range(len(self._open) - 1, 0, -1):
             if self.tags[self._open[depth]] == tag:
@@ -220,11 +252,22 @@ def main_text(source: str) -> str:
     """The article text of one page: blocks in page order, one per line; empty if there is none."""
     page = _Page(source)
     size = len(page.tags)
-    hidden = page.dropped[:]
-    for node in range(1, size):
-        hidden[node] = hidden[node] or hidden[page.parents[node]]
+
+    def below(roots: list[bool]) -> list[bool]:
+        found = roots[:]
+        for node in range(1, size):
+            found[node] = found[node] or found[page.parents[node]]
+        return found
+
+    hidden = below([a or b for a, b in zip(page.dropped, page.certain, strict=True)])
     density, sums, chars, links = _densities(page, hidden)
-    core = max(range(size), key=lambda i: (sums[i], -i))
+    if not chars[0] and any(page.certain):  # nothing else on the page
+        hidden = below(page.dropped)
+        density, sums, chars, links = _densities(page, hidden)
+    # A name lowers the score only; a wrapper around the whole page lowers all scores alike.
+    lowered = below(page.marked)
+    scores = [x * _MARKED_SHARE if low else x for x, low in zip(sums, lowered, strict=True)]
+    core = max(range(size), key=lambda i: (scores[i], -i))
     if sums[core] == 0:  # text without any element around it
         core = 0
     path = [core]
@@ -234,14 +277,17 @@ def main_text(source: str) -> str:
     # The whole article: up to the outermost article or main element on the path, else up to
     # the child of the body; further blocks of the body by their density.
     named = [i for i in path if page.tags[i] in ("article", "main")]
-    below = [i for i in path if i and page.tags[i] not in ("body", "html")]
-    root = named[-1] if named else below[-1] if below else path[-1]
+    inner = [i for i in path if i and page.tags[i] not in ("body", "html")]
+    root = named[-1] if named else inner[-1] if inner else path[-1]
     on_path = set(path)
     above = set(path[path.index(root) + 1 :])
     # Larger blocks are denser by the logarithm alone; a block as dense as the core's usual one
     # is article text too.
     usual = [density[i] for i in range(size) if page.parents[i] == core and density[i] > 0]
     enough = min(threshold, median_low(usual)) if usual else threshold
+    # What is perhaps furniture by name is so if it is thin, too.
+    thin = [m and i not in on_path and density[i] < enough for i, m in enumerate(page.marked)]
+    hidden = below([a or b for a, b in zip(hidden, thin, strict=True)])
     in_body = [False] * size
     shown = [False] * size
     for node in range(size):

@@ -69,6 +69,28 @@ def test_text_beside_the_densest_container(page, want):
     assert html_text.main_text(page) == "\n".join(want)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><h2 id='related-work'>Related</h2>{FIVE}<h2 id=search>Search</h2>{MORE}</article>",
+         ["Related", *LONG[:5], "Search", *LONG[5:]]),
+        (f"<article>{FIVE}<p class='notice'>Take care.</p><p>A <span class=share>share</span> of it.</article>",
+         [*LONG[:5], "Take care.", "A share of it."]),
+        (f"<body><div class='layout-sidebar-left'>{FIVE}</div></body>", LONG[:5]),
+        (f"<body><div class='page page-header-fixed'><article>{FIVE}</article></div></body>", LONG[:5]),
+        (f"<body><div class=navigation><main>{FIVE}</main></div><div class=menu>Top</div></body>", LONG[:5]),
+        (f"<article>{FIVE}<section id='comments'><h2>Comments</h2>{MORE}</section></article>",
+         [*LONG[:5], "Comments", *LONG[5:]]),
+        (f"<article>{FIVE}<div class='share-buttons'>Send it</div></article>", LONG[:5]),
+        (f"<article>{FIVE}</article><div class='comments'>{MORE * 3}</div>", LONG[:5]),
+        (f"<div class=post>{FIVE}</div><div class='related-posts'>{'<p>Short words here.</p>' * 9}</div>", LONG[:5]),
+        (f"<body><div class='sidebar'>{FIVE}</div></body>", LONG[:5]),
+    ],
+)
+def test_names_alone_drop_no_article_text(page, want):
+    assert html_text.main_text(page) == "\n".join(want)
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 5_000 + "deep") == "deep"
     long = "<article>" + "<p>word word word</p>" * 20_000 + "</article>"
