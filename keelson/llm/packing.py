@@ -59,7 +59,8 @@ class WordTokens(dict):
 
     Only a lower-casing byte-pair vocabulary with marked word ends, which drops white space, is
     treated so: the ids of a text are those of its words one after another, and a word is merged
-    by rank. All other vocabularies, and unusual texts, are encoded as a whole.
+    by rank. All other vocabularies, unusual texts and texts that hold an added token are encoded
+    as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,10 +68,13 @@ class WordTokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         model = parts["model"]
+        added = [x["content"] for x in parts.get("added_tokens", ())]
+        # Written in a text, an added token is that token; where it starts and ends, and in which
+        # letter case it counts, is left to the tokenizer.
+        self.added = regex.compile("|".join(map(regex.escape, added)), regex.I) if added else None
         self.by_word = (
             model.get("end_of_word_suffix") == "</w>"
             and _WORD_PATTERN in json.dumps(parts.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\")
@@ -81,7 +85,7 @@ class WordTokens(dict):
 
             letters = _byte_letters()
             ranks = {}
-            special = {x["content"] for x in parts.get("added_tokens", ())}
+            special = set(added)
             for token, rank in model["vocab"].items():
                 if token not in special:
                     body = token.removesuffix("</w>")
@@ -107,7 +111,7 @@ class WordTokens(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or _UNUSUAL.search(text):
+        if not self.by_word or _UNUSUAL.search(text) or self.added and self.added.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4").tobytes()
         return b"".join([self[run] for run in text.lower().split()])

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from keelson.llm import packing
 from tests.llm import helpers
@@ -57,6 +58,25 @@ def test_ids_of_usual_words_equal_the_tokenizer(words):
         assert np.frombuffer(words.encode(text), "<u4").tolist() == want
 
 
+def test_added_tokens_in_a_text_are_tokens(spark):
+    fresh = Tokenizer.from_file(packing.tokenizer_path())
+    words = packing.WordTokens(packing.tokenizer_path())
+    texts = [
+        "One text<|endoftext|>and another.",
+        "<|startoftext|> It's a start, ¿no? <|endoftext|>",
+        "<|ENDOFTEXT|> <|endoftext |> <|other|> | <| |>",
+        helpers.GERMAN,
+    ]
+    for text in texts:
+        want = fresh.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == want
+    docs = helpers.documents(spark, list(enumerate(texts)))
+    for row in packing.pack_documents(docs).collect():
+        want = fresh.encode(texts[row["doc_id"]], add_special_tokens=False).ids + [1]
+        assert np.frombuffer(row["ids"], "<u4").tolist() == want
+        assert row["doc_id"] > 1 or {49406, 49407} & set(want)
+
+
 def test_unmarked_vocabularies_are_encoded_as_a_whole():
     import public_tokenizers
 
