@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +34,35 @@ UNKNOWN = "und"
 #: The matrix has 2 ** BUCKET_BITS rows of four bytes per language: 256 MB at this many.
 MOST_LANGUAGES = 1_000
 
+#: Fewer labelled rows of a language teach no bound on how unusual its texts may be.
+LEAST_ROWS_FOR_BOUND = 20
+#: The bound leaves out at most this share of them, the least usual.
+SHARE_OUT = 0.001
+#: From so many n-grams on the mean over a text is steady; shorter texts may stray further.
+STEADY_NGRAMS = 300
+
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _CELLS_AT_ONCE = 1 << 21
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``weights[bucket, k]`` is log P(n-gram bucket | language k); ``prior[k]`` is log P(k)."""
+    """``weights[bucket, k]`` is log P(n-gram bucket | language k); ``prior[k]`` is log P(k).
+
+    ``totals[k]`` counts the n-grams learned from, ``usual[k]`` is their mean log-likelihood, and
+    ``allowed[k]`` how far below it a text's mean may be (see ``learn_bounds``).
+    """
 
     languages: list[str]
     weights: np.ndarray
     prior: np.ndarray
+    totals: np.ndarray
+    usual: np.ndarray
+    allowed: np.ndarray
+
+    def shortfall(self, mean: np.ndarray, ngrams: np.ndarray, language) -> np.ndarray:
+        """How far mean log-likelihoods of so many n-grams are below the usual one."""
+        return (self.usual[language] - mean) * np.sqrt(np.minimum(ngrams / STEADY_NGRAMS, 1.0))
 
 
 def _ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -70,6 +88,25 @@ def _ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield hashed.astype(np.int64), np.cumsum(runs) - runs
 
 
+def _labelled(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, dict[str, int]]:
+    """Rows with text and language, and the number of rows of each language."""
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(
+        "text is not null and lang is not null"
+    )
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    return rows, {row["lang"]: row["n"] for row in counted}
+
+
+def _chosen(rows: DataFrame, sizes: dict[str, int], rows_per_language: int) -> DataFrame:
+    """About so many rows of each language, by text hash."""
+    share = F.lit(None).cast("double")
+    for name in sorted(sizes):
+        share = F.when(F.col("lang") == name, rows_per_language / sizes[name]).otherwise(share)
+    # The upper hash bits as a number in [0, 1): a fixed choice, whatever the partitions are.
+    draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
+    return rows.where(draw < share)
+
+
 def fit_language_model(
     docs: DataFrame,
     text: str = "text",
@@ -84,13 +121,7 @@ def fit_language_model(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(
-        "text is not null and lang is not null"
-    )
-    sizes = {
-        row["lang"]: row["n"]
-        for row in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    }
+    rows, sizes = _labelled(docs, text, lang)
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"More than {MOST_LANGUAGES} languages")
     languages = sorted(sizes)
@@ -98,12 +129,6 @@ def fit_language_model(
     counts = np.zeros((buckets, len(languages)), np.float64)
     if languages:
         number = {name: i for i, name in enumerate(languages)}
-        share = F.lit(None).cast("double")
-        for name in languages:
-            share = F.when(F.col("lang") == name, rows_per_language / sizes[name]).otherwise(share)
-        # The upper hash bits as a number in [0, 1): a fixed choice, whatever the partitions are.
-        draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
-
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[int, np.ndarray] = {}
             for batch in batches:
@@ -130,7 +155,7 @@ def fit_language_model(
                 )
 
         totals = (
-            rows.where(draw < share)
+            _chosen(rows, sizes, rows_per_language)
             .mapInArrow(count, "k int, bucket int, n long")
             .groupBy("k", "bucket")
             .agg(F.sum("n").alias("n"))
@@ -138,43 +163,106 @@ def fit_language_model(
         )
         counts[totals["bucket"].to_numpy(), totals["k"].to_numpy()] = totals["n"].to_numpy()
     weights = np.log(counts + SMOOTHING) - np.log(counts.sum(0) + SMOOTHING * buckets)
+    usual = (counts * weights).sum(0) / np.maximum(counts.sum(0), 1)
     total = max(sum(sizes.values()), 1)
     prior = np.log(np.array([sizes[x] / total for x in languages], np.float64))
-    return LanguageModel(languages, weights.astype(np.float32), prior)
+    no_bound = np.full(len(languages), np.inf)
+    return LanguageModel(languages, weights.astype(np.float32), prior, counts.sum(0), usual, no_bound)
+
+
+def learn_bounds(
+    docs: DataFrame,
+    model: LanguageModel,
+    text: str = "text",
+    lang: str = "lang",
+    rows_per_language: int = ROWS_PER_LANGUAGE,
+) -> LanguageModel:
+    """The model with ``allowed``: how unusual the labelled rows it was fitted on are.
+
+    ``docs`` and ``rows_per_language`` are those of the fit. Each row is judged by the counts of
+    all others.
+    """
+    rows, sizes = _labelled(docs, text, lang)
+    if not model.languages:
+        return model
+    spread = docs.sparkSession.sparkContext.broadcast(model)
+    number = {name: i for i, name in enumerate(model.languages)}
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = spread.value
+        buckets = len(model.weights)
+        for batch in batches:
+            ks, shortfalls = [], []
+            names = batch.column(1).to_pylist()
+            for value, name in zip(texts_of(batch.column(0)), names, strict=True):
+                if not any(map(str.isalpha, value)):
+                    continue
+                k = number[name]
+                hashed = np.concatenate([own for own, _ in _ngrams([value])])
+                bucket, times = np.unique(hashed, return_counts=True)
+                whole = model.totals[k] + SMOOTHING * buckets
+                others = np.exp(model.weights[bucket, k].astype(np.float64)) * whole - times
+                logs = np.log(np.maximum(others, SMOOTHING)) - np.log(whole - len(hashed))
+                ks.append(k)
+                shortfalls.append(float(model.shortfall(logs @ times / len(hashed), len(hashed), k)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ks, pa.int32()), pa.array(shortfalls, pa.float64())], ["k", "shortfall"]
+            )
+
+    found = (
+        _chosen(rows, sizes, rows_per_language).mapInArrow(judge, "k int, shortfall double").toArrow()
+    )
+    k, shortfall = found["k"].to_numpy(), found["shortfall"].to_numpy()
+    allowed = model.allowed.copy()
+    for i in range(len(model.languages)):
+        own = shortfall[k == i]
+        if len(own) >= LEAST_ROWS_FOR_BOUND:
+            allowed[i] = max(np.quantile(own, 1 - SHARE_OUT, method="higher"), 0.0)
+    return replace(model, allowed=allowed)
 
 
 def predicted_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:
-    """A struct (lang_pred, score) for each whole text; see ``identify_languages``."""
+    """A struct (lang_pred, score, usual) for each whole text; see ``identify_languages``.
+
+    ``usual`` says whether the text's mean log-likelihood per n-gram is within the bound of its
+    best language.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def annotated(array: pa.Array) -> pa.Array:
         model = shared.value
-        names, scores = [], []
+        names, scores, usual = [], [], []
         wide = max(len(model.languages), 1)
         # Gathering a row per n-gram is the largest array: bound its cells.
         for part in text_slices(array, max(_CELLS_AT_ONCE // wide, 1)):
             texts = texts_of(part)
             known = np.array([any(map(str.isalpha, t)) for t in texts], bool) & bool(model.languages)
             sums = np.tile(model.prior, (len(texts), 1))
+            ngrams = np.zeros(len(texts), np.int64)
             own = [t for t, k in zip(texts, known, strict=True) if k]
             for hashed, starts in _ngrams(own) if own else ():
                 # A text has at least one letter and a blank on either side: no run is empty.
                 rows = model.weights[hashed].astype(np.float64)
                 sums[known] += np.add.reduceat(rows, starts, axis=0)
-            for total, found in zip(sums, known, strict=True):
+                ngrams[known] += np.diff(starts, append=len(hashed))
+            for total, n, found in zip(sums, ngrams, known, strict=True):
                 if found:
                     best = int(total.argmax())
                     names.append(model.languages[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
+                    mean = (total[best] - model.prior[best]) / n
+                    usual.append(bool(model.shortfall(mean, n, best) <= model.allowed[best]))
                 else:
                     names.append(UNKNOWN)
                     scores.append(0.0)
+                    usual.append(False)
         return pa.StructArray.from_arrays(
-            [pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
+            [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(usual, pa.bool_())],
+            ["lang_pred", "score", "usual"],
         )
 
-    return arrow_udf(annotated, "lang_pred string, score double").asNondeterministic()(F.col(text))
+    return arrow_udf(annotated, "lang_pred string, score double, usual boolean").asNondeterministic()(F.col(text))
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -71,3 +71,15 @@ def test_nothing_to_judge_by_keeps_documents(spark, tables, tmp_path):
     kept = {r["doc_id"] for r in corpus_pipeline.keep_language(spark, unnamed, tables).collect()}
     assert {0, 50} <= kept and not {400, 401, 402} & kept
     assert decontamination.WORDS_PER_EDIT > 1
+
+
+def test_unlearned_languages_go(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 100")
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. "
+    noise = "qxzv wjkq zzxq vvkj xqqz jjwx kqvz zqxj wvkq xxjz "
+    known = docs.where("doc_id = 3").first()["text"]
+    more = helpers.documents(spark, [(900, finnish * 3, None), (901, noise * 3, None), (902, known, None)])
+    more = more.selectExpr("*", "1 as score", "'x' as row")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_language(spark, docs.unionByName(more), tables).collect()}
+    assert not {900, 901} & kept
+    assert {902, *range(80)} <= kept
