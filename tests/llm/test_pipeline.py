@@ -83,3 +83,18 @@ def test_unlearned_languages_go(spark, tables):
     kept = {r["doc_id"] for r in corpus_pipeline.keep_language(spark, docs.unionByName(more), tables).collect()}
     assert not {900, 901} & kept
     assert {902, *range(80)} <= kept
+
+
+def test_other_texts_of_a_repeated_id_stay(spark, tables):
+    english, german = helpers.ENGLISH * 3, helpers.GERMAN * 3
+    rows = [(1, english, "en"), (1, german, "de"), (1, english + "More.", "en"), (2, german, "de"), (1, german, "de")]
+    rows += [(3, None, None), (3, None, None), (3, "Another one.", "en"), (None, german, "de")]
+    want = [(1, german), (3, None), (3, "Another one."), (None, german)]
+    for given in (rows, rows[::-1]):
+        docs = helpers.documents(spark, given)
+        kept = corpus_pipeline.keep_one_of_each(spark, docs, tables)
+        assert kept.columns == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        copies = [x for x in got if x[0] == 1 and x[1].startswith(english)]
+        assert len(copies) == 1
+        assert sorted(map(repr, got)) == sorted(map(repr, want + copies))
