@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from keelson.llm import (
     chat,
     decontamination,
+    filter_audit,
     html_text,
     language_id,
     near_duplicates,
@@ -16,6 +17,8 @@ from keelson.llm import (
     quality,
     token_counts,
     toxicity,
+    turn_repair,
+    url_filter,
     vector_search,
 )
 
@@ -72,6 +75,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -83,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_search": op8_vector_search,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
+    "op11_url_filter": op11_url_filter,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_turn_repair": op13_turn_repair,
 }

@@ -22,7 +22,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_there_is_one_query_per_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_search_finds_the_nearest_vectors(spark):
