@@ -173,6 +173,11 @@ INTERNAL = unit(
 )
 
 
+def py_round(value: str, digits: int) -> str:
+    """Rounded by the exact binary value, halves to even; ``round`` rounds the shortest decimal."""
+    return f"CAST(format('{{:.{digits}f}}', {value}) AS DOUBLE)"
+
+
 def scored(source: str, sev: str, conf: str) -> str:
     return f"""
 part_risk AS (
@@ -206,9 +211,10 @@ def share(tk: str, wanted: str) -> str:
 
 
 def relevance(tk: str, names: str, places: str) -> str:
-    return (
-        f"round(0.50::DOUBLE * ({share(tk, names)}) + 0.30::DOUBLE * ({share(tk, places)}) "
-        f"+ 0.20::DOUBLE * least(len(list_intersect({tk}, {TERMS})) / 2.0::DOUBLE, 1.0::DOUBLE), 4)"
+    return py_round(
+        f"0.50::DOUBLE * ({share(tk, names)}) + 0.30::DOUBLE * ({share(tk, places)}) "
+        f"+ 0.20::DOUBLE * least(len(list_intersect({tk}, {TERMS})) / 2.0::DOUBLE, 1.0::DOUBLE)",
+        4,
     )
 
 
@@ -537,9 +543,12 @@ FROM scored"""
 SUPPLIER_RISK = f"WITH {SUPPLIERS}, {scored('suppliers', '0.0::DOUBLE', '0.0::DOUBLE')}"
 ORACLES["supplier_risk_table"] = SUPPLIER_RISK + """
 SELECT supplier_id, priority, round(raw_probability, 9) AS raw_probability, round(raw_loss, 4) AS raw_loss FROM scored"""
-ORACLES["risk_queue"] = QUEUE + """
+ORACLES["risk_queue"] = QUEUE + f"""
 SELECT supplier_id, priority, recommended_action, top_event_type, top_event_url,
-  round(event_confidence, 3) AS event_confidence, CAST(matched_articles AS INTEGER) AS matched_articles FROM scored"""
+  {py_round("event_confidence", 3)} AS event_confidence, CAST(matched_articles AS INTEGER) AS matched_articles,
+  {py_round("100 * raw_internal", 1)} AS internal_risk, {py_round("100 * raw_external", 1)} AS external_risk,
+  {py_round("100 * raw_combined", 1)} AS risk_score_calculated,
+  {py_round("raw_probability", 4)} AS disruption_probability, {py_round("raw_loss", 2)} AS expected_loss FROM scored"""
 ORACLES["risk_evidence"] = QUEUE + """
 SELECT supplier_id, url, published_at, event_type, round(event_confidence, 4) AS event_confidence,
   round(event_severity, 4) AS event_severity, round(relevance_score, 4) AS relevance_score,
@@ -549,21 +558,21 @@ SELECT title, source, published_at, event_type, round(event_confidence, 4) AS ev
 FROM evidence WHERE CAST(supplier_id AS BIGINT) % 10 = 3"""
 ORACLES["news_counts"] = QUEUE + """
 SELECT (SELECT count(*) FROM news) AS articles_received, (SELECT count(*) FROM unique_news) AS articles_processed"""
-ORACLES["executive_summary"] = MONTH_RISK + """,
-urgent AS (SELECT *, round(raw_loss, 2) AS loss FROM scored WHERE priority IN ('Critical', 'High')),
+ORACLES["executive_summary"] = MONTH_RISK + f""",
+urgent AS (SELECT *, {py_round("raw_loss", 2)} AS loss FROM scored WHERE priority IN ('Critical', 'High')),
 top AS (SELECT * FROM urgent ORDER BY loss DESC LIMIT 1)
 SELECT (SELECT count(*) FROM urgent) || ' supplier(s) need action. Modeled exposure is $'
-  || format('{:,.0f}', (SELECT sum(round(raw_loss, 2)) FROM scored)) || '. The highest priority is '
+  || format('{{:,.0f}}', (SELECT sum({py_round("raw_loss", 2)}) FROM scored)) || '. The highest priority is '
   || top.supplier_name || ' because of late deliveries, with an estimated loss of $'
-  || format('{:,.0f}', top.loss) || '. Recommended next step: ' || lower(top.recommended_action) || '.' AS summary
+  || format('{{:,.0f}}', top.loss) || '. Recommended next step: ' || lower(top.recommended_action) || '.' AS summary
 FROM top"""
 ORACLES["risk_snapshot"] = MONTH_RISK + """
 SELECT count(*) AS suppliers, count(*) FILTER (priority IN ('Critical', 'High')) AS need_action,
   round(sum(raw_loss), 2) AS total_loss FROM scored"""
-ORACLES["action_center"] = MONTH_RISK + """
+ORACLES["action_center"] = MONTH_RISK + f"""
 SELECT priority, supplier_name, 'unknown' AS location, 'none' AS top_event_type, recommended_action,
-  round(100 * raw_combined, 1) AS risk_score_calculated, round(raw_probability, 4) AS disruption_probability,
-  round(raw_loss, 2) AS expected_loss FROM scored"""
+  {py_round("100 * raw_combined", 1)} AS risk_score_calculated,
+  {py_round("raw_probability", 4)} AS disruption_probability, {py_round("raw_loss", 2)} AS expected_loss FROM scored"""
 ORACLES["highest_losses"] = SUPPLIER_RISK + """
 SELECT supplier_id, round(raw_loss, 2) AS expected_loss FROM scored ORDER BY raw_loss DESC, supplier_id LIMIT 8"""
 ORACLES["supplier_detail"] = MONTH_RISK + """

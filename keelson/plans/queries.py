@@ -475,18 +475,20 @@ def _queue(spark, sf_dir) -> PipelineResult:
 
 @query
 def risk_queue(spark, sf_dir):
-    """R10 with J3, R7-R9: the whole job."""
-    results = _queue(spark, sf_dir).suppliers
-    return _rounded(
-        results.select(
-            "supplier_id",
-            "priority",
-            "recommended_action",
-            "top_event_type",
-            "top_event_url",
-            "event_confidence",
-            "matched_articles",
-        )
+    """R10 with J3, R5, R7-R9: the whole job, its rounded numbers as they are shown."""
+    return _queue(spark, sf_dir).suppliers.select(
+        "supplier_id",
+        "priority",
+        "recommended_action",
+        "top_event_type",
+        "top_event_url",
+        "event_confidence",
+        "matched_articles",
+        "internal_risk",
+        "external_risk",
+        "risk_score_calculated",
+        "disruption_probability",
+        "expected_loss",
     )
 
 

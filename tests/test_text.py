@@ -153,3 +153,16 @@ def test_keywords_with_signs_are_plain_text(spark):
     df = spark.createDataFrame(rows, "t string")
     got = [r.e.event_type for r in df.select(events.classify_event(F.col("t"), keywords).alias("e")).collect()]
     assert got[0] == got[1] == got[3] == "Trade" and got[2] not in keywords
+
+
+def test_rounding_of_the_sql_is_pythons():
+    import duckdb
+
+    from keelson.plans.oracles import py_round
+
+    db = duckdb.connect()
+    values = [45.1499999999999986, 0.125, 0.375, 2.675, 0.285, 1.005, 2.5, 301000.5, -0.25, 365903.555]
+    for digits in range(5):
+        for value in values:
+            found = db.execute(f"SELECT {py_round('CAST(? AS DOUBLE)', digits)}", [value]).fetchone()[0]
+            assert found == round(value, digits)
