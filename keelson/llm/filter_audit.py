@@ -13,6 +13,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.common import store
 from keelson.session import compute_once, salted_join
 
 #: The filters; the bit of a filter is its place here.
@@ -67,7 +68,8 @@ def mask_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "_mask",
         text_mask(F.col("body")),
     ).select("doc_id", "part", F.unhex(F.sha2("body", 256)).alias("digest"), F.col("_mask").alias("mask"))
-    counted = rows.groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("n"))
+    # Written once, without texts: what follows reads it three times.
+    counted = store(rows.groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("n")))
     labelled = salted_join(counted, _marked(labels), ["doc_id"], ["digest", "part"], how="left")
     one = labelled.select(
         "doc_id", "part", "digest", "mask", "n",
@@ -80,9 +82,10 @@ def mask_cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         *(F.sum(c).alias(c) for c in ("n", "good", "toxic")),
         F.min(F.struct("doc_id", "n", "good", "toxic")).alias("least"),
     )
-    first = groups.groupBy("digest").agg(F.min("least.doc_id").alias("first_id"))
-    copies = salted_join(groups, first, ["digest"], ["part"])
-    is_first = F.col("least.doc_id") == F.col("first_id")
+    # Only texts in several parts have to look for their least id.
+    first = groups.groupBy("digest").agg(F.min("least.doc_id").alias("first_id"), F.count("*").alias("parts"))
+    copies = salted_join(groups, first.where("parts > 1").drop("parts"), ["digest"], ["part"], how="left")
+    is_first = F.coalesce(F.col("least.doc_id") == F.col("first_id"), F.lit(True))
     split = copies.select(
         "part",
         F.explode(
