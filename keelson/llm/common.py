@@ -102,10 +102,12 @@ def byte_view(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 # -- hashing -------------------------------------------------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.random.default_rng(20_240_501).integers(0, 1 << 64, 256, np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Two primes below 2^31: products of residues fit 64 bits, and so do sums of 2^32 of them.
+#: Powers of two as modulus would give long alternating words one hash.
+_PRIMES = (2_147_483_647, 2_147_483_629)
+_BASES = (1_220_703_125, 1_162_261_467)
+_BYTES = [np.random.default_rng(seed).integers(1, p, 256, np.int64) for seed, p in enumerate(_PRIMES)]
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -115,19 +117,28 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def _power(which: int, length: int) -> np.ndarray:
-    if len(_powers[which]) < length:
-        steps = np.full(length, (_BASE, _BACK)[which], np.uint64)
-        steps[0] = 1
-        _powers[which] = np.multiply.accumulate(steps)
-    return _powers[which][:length]
+def _power(base: int, prime: int, length: int) -> np.ndarray:
+    """The first ``length`` powers of ``base`` modulo ``prime``, remembered."""
+    found = _powers.get((base, prime), np.ones(1, np.int64))
+    while len(found) < length:
+        found = np.concatenate((found, found * pow(base, len(found), prime) % prime))
+    _powers[base, prime] = found
+    return found[:length]
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from one running polynomial sum over all bytes."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _power(0, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(1, len(data) + 1)[starts])
+    """A 64-bit hash of each span of bytes, from running polynomial sums over all bytes.
+
+    Two independent prime fields, 62 bits together, and the length.
+    """
+    found = np.zeros(len(starts), np.uint64)
+    for values, base, prime in zip(_BYTES, _BASES, _PRIMES, strict=True):
+        sums = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(values[data] * _power(base, prime, len(data)) % prime, out=sums[1:])
+        back = _power(pow(base, -1, prime), prime, len(data) + 1)
+        own = (sums[ends] - sums[starts]) % prime * back[starts] % prime
+        found = (found << np.uint64(31)) | own.astype(np.uint64)
+    return mix(found + mix((ends - starts).astype(np.uint64)))
 
 
 def word_spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

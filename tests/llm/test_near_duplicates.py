@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from keelson.llm import near_duplicates as near
+from keelson.llm.common import hash_spans
 from keelson.llm.components import connected_components
 from tests.llm import helpers
 
@@ -123,3 +124,15 @@ def test_components_of_chains_and_cycles(spark):
     want = {i: 1 for i in range(2, 41)} | {60: 50, 70: 50}
     assert {k: v for k, v in found.items() if k != v} == want
     assert connected_components(links.limit(0)).collect() == []
+
+
+def test_alternating_long_words_are_told_apart(spark):
+    # Thue-Morse words: any polynomial modulo a power of two gives both one hash.
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2_048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((word + other).encode(), np.uint8)
+    first, second = hash_spans(data, np.array([0, 2_048]), np.array([2_048, 4_096]))
+    assert first != second
+    rows = [(1, f"{word} one two three four"), (2, f"{other} one two three four")]
+    found = near.near_duplicates(helpers.documents(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2}
