@@ -163,8 +163,8 @@ def _all_entries(graph: np.ndarray, entries: np.ndarray) -> np.ndarray:
         found += new.tolist()
 
 
-def _valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Rows with a key and a finite vector that is not zero, all of the commonest length."""
+def _valid(vectors: DataFrame, key: str, vector: str, length: int | None = None) -> DataFrame:
+    """Rows with a key and a finite vector that is not zero, of the given or commonest length."""
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(
@@ -173,8 +173,10 @@ def _valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
         & ~F.coalesce(bad, F.lit(True))
         & F.exists("vector", lambda x: x != 0)
     )
-    common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vector") == (common["n"] if common else 0))
+    if length is None:
+        common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        length = common["n"] if common else 0
+    return rows.where(F.size("vector") == length)
 
 
 def build_index(vectors: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
@@ -222,7 +224,8 @@ def build_index(vectors: DataFrame, key: str, vector: str, keep: int) -> DataFra
 
 def search_index(index: DataFrame, queries: DataFrame, key: str, vector: str, nearest: int) -> DataFrame:
     """The ``nearest`` best nodes of all shards for every query, the query's own key left out."""
-    asked = _valid(queries, key, vector)
+    some = index.select(F.size("vector").alias("n")).first()
+    asked = _valid(queries, key, vector, some["n"] if some else 0)
     shards = index.agg(F.max("shard")).first()[0]
     shards = 0 if shards is None else shards + 1
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
@@ -302,7 +305,7 @@ def nearest_neighbours(
 
     Columns ``query_id``, ``rank`` from 1, ``vec_id`` and ``score``, the exact inner product in
     double precision; ties go to the smaller key. A query's own key is no candidate. Null keys,
-    and vectors that are null, zero, of another length than most, or hold null, NaN or infinite
+    and vectors that are null, zero, of another length than most of ``vectors``, or hold null, NaN or infinite
     components take no part, as queries too. Repeated rows are one candidate and one query.
     Other columns are not read; empty tables give no rows.
     """

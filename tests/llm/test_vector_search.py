@@ -80,3 +80,15 @@ def test_graph_keeps_its_degree_and_reaches_all():
         new = {int(x) for n in new for x in graph[n] if x >= 0} - seen
         seen |= new
     assert len(seen) == 700
+
+
+def test_queries_of_another_length_take_no_part(spark):
+    rows = spark.createDataFrame(
+        [(i, [float(i), 1.0, 0.0, -1.0]) for i in range(10)], "vec_id long, embedding array<double>"
+    )
+    asked = spark.createDataFrame(
+        [(i, [1.0, 2.0, 3.0]) for i in range(20, 25)] + [(3, [3.0, 1.0, 0.0, -1.0])], rows.schema
+    )
+    found = search.nearest_neighbours(rows, asked).collect()
+    assert {r["query_id"] for r in found} == {3} and len(found) == 9
+    assert search.nearest_neighbours(rows.limit(0), asked).collect() == []
