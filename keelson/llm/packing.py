@@ -8,9 +8,11 @@ tournament tree whose nodes hold the largest free capacity below them.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import small_batches, texts_of
+from keelson.llm.common import mix, small_batches, texts_of
 
+#: Tasks that the groups are dealt to at most; a task packs its groups one after the other.
+MOST_TASKS = 20_000
 SEQUENCE_TOKENS = 2_048
 END_OF_DOCUMENT = 1
 #: Bytes of text that a group holds on average (a token has at least one byte of text).
@@ -164,7 +168,9 @@ def token_pieces(
     """Cut every document's ids, with ``end_token`` behind them, into pieces of one sequence at most.
 
     Columns: the key, ``start``, ``length``, ``doc_tokens``, ``ids`` (little-endian 32-bit) and
-    ``draw``, a random number that is the same if a task runs again.
+    ``draw``, a random number. It is drawn from the partition, the key, the text, the start and how
+    many equal rows the partition had before, so a task that runs again over the same rows in any
+    order draws the same.
     """
     small_batches(docs.sparkSession)
     path = path or tokenizer_path()
@@ -174,16 +180,24 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokens(path).encode
-        random = np.random.default_rng(TaskContext.get().partitionId())
+        partition = TaskContext.get().partitionId().to_bytes(8, "little")
+        seen: Counter[bytes] = Counter()
         for batch in batches:
-            owner, start, doc_tokens, pieces = [], [], [], []
+            owner, start, doc_tokens, pieces, draws = [], [], [], [], []
+            keys = batch.column(0).to_pylist()
             for i, value in enumerate(texts_of(batch.column(1))):
+                row = hashlib.blake2b(repr(keys[i]).encode() + b"\n", digest_size=16, key=partition)
+                row.update(value.encode("utf-8", "surrogatepass"))
+                name = row.digest()
+                seed = int.from_bytes(name[:8], "little") + seen[name]
+                seen[name] += 1
                 ids = encode(value) + end
                 for at in range(0, len(ids), step):
                     owner.append(i)
                     start.append(at // 4)
                     doc_tokens.append(len(ids) // 4)
                     pieces.append(ids[at : at + step])
+                    draws.append((seed + (at // step << 32)) % (1 << 64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(owner, pa.int64())),
@@ -191,7 +205,7 @@ def token_pieces(
                     pa.array([len(p) // 4 for p in pieces], pa.int64()),
                     pa.array(doc_tokens, pa.int64()),
                     pa.array(pieces, pa.binary()),
-                    pa.array(random.integers(0, 1 << 62, len(pieces))),
+                    pa.array((mix(np.array(draws, np.uint64)) >> np.uint64(2)).astype(np.int64)),
                 ],
                 ["key", "start", "length", "doc_tokens", "ids", "draw"],
             )
@@ -234,6 +248,8 @@ def pack_documents(
 
     packed = (
         pieces.withColumn("slot", F.col("draw") % groups)
+        # Tasks grow with the groups, so that few of them meet in one task.
+        .repartition(min(groups, MOST_TASKS), "slot")
         .groupBy("slot")
         .applyInPandas(
             pack,

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keelson.llm import packing
@@ -120,3 +121,16 @@ def test_digest_and_empty_table(spark):
     assert row["ids_crc32"] == zlib.crc32(np.array([1], "<u4").tobytes())
     assert (row["doc_id"], row["start"], row["length"], row["offset"]) == (7, 0, 1, 0)
     assert packing.pack_documents(helpers.documents(spark, [])).collect() == []
+
+
+def test_draws_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 7, f"text {i % 11} " * (1 + i % 5)) for i in range(120)]
+    docs = helpers.documents(spark, rows).coalesce(1)
+
+    def draws(ordered):
+        pieces = packing.token_pieces(ordered.coalesce(1), sequence_tokens=8)
+        return sorted((r["key"], bytes(r["ids"]), r["start"], r["draw"]) for r in pieces.collect())
+
+    first = draws(docs.sort("n_chars", "doc_id"))
+    assert draws(docs.sort(F.desc("text"), "doc_id")) == first
+    assert len({r[3] for r in first}) == len(first)
