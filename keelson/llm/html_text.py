@@ -25,7 +25,7 @@ from keelson.llm.common import replace_columns, small_batches, texts_of
 _MARKUP = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""",
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*?)(?:>|\Z)""",
     re.S,
 )
 _ATTRIBUTE = re.compile(

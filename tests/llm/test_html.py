@@ -106,3 +106,11 @@ def test_table(spark):
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in found.collect())
     assert got == sorted([(1, WANT, len(WANT)), (2, "", 0), (3, "", 0), (1, "é", 1)])
     assert html_text.extract_text(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "tag", ["<p don't>", '<p "x>', "<p title=it's>", "<p a='b>c' d=\"e>f\">", "<p x = 'y' \">"]
+)
+def test_quotes_open_values_only(tag):
+    page = f"<body><div>{tag}First paragraph of its own, long enough to stay.</p><p>Second paragraph, it's long too.</p></div></body>"
+    assert html_text.main_text(page) == "First paragraph of its own, long enough to stay.\nSecond paragraph, it's long too."
