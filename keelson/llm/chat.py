@@ -187,7 +187,8 @@ def format_conversations(
         F.col(text).alias("text"),
     )
     return (
-        rows.repartitionByRange(*order)
+        # The sample of the ranges sees beginnings of names and texts only.
+        rows.repartitionByRange("key", "turn", F.left("role", F.lit(64)), F.left("text", F.lit(64)))
         .sortWithinPartitions(*order)
         .select("key", "role", "text")
         .mapInArrow(
