@@ -12,7 +12,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from keelson.llm.common import small_batches, texts_of
+from keelson.llm.common import small_batches, store, texts_of
 
 #: One edit is allowed for so many words of an item; items with fewer words must appear as they are.
 WORDS_PER_EDIT = 5
@@ -49,6 +51,11 @@ class Items:
 
     words: list[list[str]]
 
+    @cached_property
+    def matcher(self) -> Matcher:
+        """Made once in each Python process that searches."""
+        return Matcher(self)
+
 
 class Matcher:
     """The automaton of all pieces and the word masks of all items of a block."""
@@ -138,9 +145,12 @@ def bit_parallel_search(masks: dict[str, int], size: int, words: list[str]) -> t
     return best
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> list[tuple[list, Items]]:
-    """The test items in blocks of bounded size; items without words cannot appear anywhere."""
-    words = F.size(F.split(F.coalesce(text, F.lit("")), r"\s+"))
+def _blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, Items]]:
+    """The test items, one block of bounded size after the other; there is at least one.
+
+    Items without words cannot appear anywhere.
+    """
+    words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+"))
     total = items.agg(F.sum(words)).first()[0] or 0
     blocks = max(1, -(-total // WORDS_PER_BLOCK))
     numbered = items.select(
@@ -148,13 +158,11 @@ def _blocks(items: DataFrame, key: str, text: str) -> list[tuple[list, Items]]:
         F.col(text).alias("text"),
         F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"),
     )
-    found = []
     for block in range(blocks):
         rows = numbered.where(F.col("block") == block).orderBy("item", "text").collect()
         split = [(row["item"], normalized_words(row["text"])) for row in rows]
         split = [(item, own) for item, own in split if own]
-        found.append(([item for item, _ in split], Items([own for _, own in split])))
-    return found
+        yield [item for item, _ in split], Items([own for _, own in split])
 
 
 def _hits(docs: DataFrame, items: Items, text: str) -> Column:
@@ -162,7 +170,7 @@ def _hits(docs: DataFrame, items: Items, text: str) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def match(array: pa.Array) -> pa.Array:
-        matcher = Matcher(shared.value)
+        matcher = shared.value.matcher
         kind = pa.struct([("item", pa.int32()), ("distance", pa.int32()), ("end_word", pa.int32())])
         rows = [
             [dict(zip(("item", "distance", "end_word"), hit, strict=True)) for hit in matcher.hits(value)]
@@ -191,7 +199,7 @@ def contaminations(
     """
     spark = docs.sparkSession
     kind = items.schema[item_key].dataType.simpleString()
-    result = None
+    parts = []
     for names, block in _blocks(items, item_key, item_text):
         lookup = spark.createDataFrame(
             [(i, name, len(own)) for i, (name, own) in enumerate(zip(names, block.words, strict=True))],
@@ -209,8 +217,9 @@ def contaminations(
                 "end_word",
             )
         )
-        result = found if result is None else result.union(found)
-    return result
+        # A block's hits are written before the next block comes to the driver.
+        parts.append(store(found))
+    return reduce(DataFrame.union, parts)
 
 
 def decontaminated(
@@ -221,7 +230,9 @@ def decontaminated(
     item_text: str = "text",
 ) -> DataFrame:
     """The documents in which no test item appears, with their columns as they are."""
-    for _, block in _blocks(items, item_key, item_text):
+    for number, (_, block) in enumerate(_blocks(items, item_key, item_text)):
+        if number:  # what a block leaves is written before the next block comes to the driver
+            docs = store(docs)
         row = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
         docs = (
             row.select("row", _hits(row, block, "text").alias("hits"))
