@@ -88,23 +88,32 @@ def _ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield hashed.astype(np.int64), np.cumsum(runs) - runs
 
 
-def _labelled(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, dict[str, int]]:
-    """Rows with text and language, and the number of rows of each language."""
+def _labelled(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """Rows with text and language, and of each language how many rows and distinct texts."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         "text is not null and lang is not null"
     )
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    return rows, {row["lang"]: row["n"] for row in counted}
+    counted = (
+        rows.groupBy("lang", F.xxhash64("text").alias("text"))
+        .agg(F.count("*").alias("n"))
+        .groupBy("lang")
+        .agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+        .limit(MOST_LANGUAGES + 1)
+        .collect()
+    )
+    return rows, {row["lang"]: (row["n"], row["texts"]) for row in counted}
 
 
-def _chosen(rows: DataFrame, sizes: dict[str, int], rows_per_language: int) -> DataFrame:
-    """About so many rows of each language, by text hash."""
+def _chosen(
+    rows: DataFrame, sizes: dict[str, tuple[int, int]], rows_per_language: int
+) -> DataFrame:
+    """About so many distinct texts of each language, by text hash; all of them if there are fewer."""
     share = F.lit(None).cast("double")
     for name in sorted(sizes):
-        share = F.when(F.col("lang") == name, rows_per_language / sizes[name]).otherwise(share)
+        share = F.when(F.col("lang") == name, rows_per_language / sizes[name][1]).otherwise(share)
     # The upper hash bits as a number in [0, 1): a fixed choice, whatever the partitions are.
     draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
-    return rows.where(draw < share)
+    return rows.where(draw < share).distinct()
 
 
 def fit_language_model(
@@ -113,9 +122,9 @@ def fit_language_model(
     lang: str = "lang",
     rows_per_language: int = ROWS_PER_LANGUAGE,
 ) -> LanguageModel:
-    """Fit on at most about ``rows_per_language`` rows of each language, chosen by text hash.
+    """Fit on at most about ``rows_per_language`` texts of each language, chosen by text hash.
 
-    Priors are counted over all rows. Rows without text or language teach nothing. A table with
+    Each distinct text counts once, so copies neither fill the choice nor keep a language out. Priors are counted over all rows. Rows without text or language teach nothing. A table with
     nothing to learn from gives a model that answers ``und``. More than MOST_LANGUAGES distinct
     languages are refused, as the matrix would outgrow a broadcast.
     """
@@ -164,8 +173,8 @@ def fit_language_model(
         counts[totals["bucket"].to_numpy(), totals["k"].to_numpy()] = totals["n"].to_numpy()
     weights = np.log(counts + SMOOTHING) - np.log(counts.sum(0) + SMOOTHING * buckets)
     usual = (counts * weights).sum(0) / np.maximum(counts.sum(0), 1)
-    total = max(sum(sizes.values()), 1)
-    prior = np.log(np.array([sizes[x] / total for x in languages], np.float64))
+    total = max(sum(n for n, _ in sizes.values()), 1)
+    prior = np.log(np.array([sizes[x][0] / total for x in languages], np.float64))
     no_bound = np.full(len(languages), np.inf)
     return LanguageModel(languages, weights.astype(np.float32), prior, counts.sum(0), usual, no_bound)
 

@@ -112,7 +112,7 @@ def term_counts(array: pa.Array) -> np.ndarray:
 
 def _weighted(counts: np.ndarray, term_weights: np.ndarray) -> np.ndarray:
     share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    weighted = (np.sqrt(share) * term_weights).astype(np.float32)
+    weighted = np.sqrt(share) * term_weights
     return weighted / np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
 
 
@@ -144,8 +144,8 @@ def fit_quality_model(
         .sort_by([("order", "ascending"), ("label", "ascending"), ("counts", "ascending")])
     )
     if not len(table):
-        empty = np.zeros((0, DIMENSIONS), np.float32)
-        return QualityModel(np.ones(TERMS), np.zeros((TERMS, DIMENSIONS), np.float32), empty, np.zeros(0))
+        empty = np.zeros((0, DIMENSIONS))
+        return QualityModel(np.ones(TERMS), np.zeros((TERMS, DIMENSIONS)), empty, np.zeros(0))
     labels_of = table["label"].to_numpy().astype(np.float64)
 
     def blocks() -> Iterator[np.ndarray]:
@@ -162,7 +162,7 @@ def fit_quality_model(
         products += weighted.T @ weighted
     # The right singular vectors are the eigenvectors of the term-by-term product.
     _, vectors = np.linalg.eigh(products)
-    projection = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS], np.float32)
+    projection = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS])
     latent = [_unit(_weighted(counts, term_weights) @ projection) for counts in blocks()]
     model = QualityModel(term_weights, projection, np.concatenate(latent), labels_of)
     del table
@@ -171,13 +171,20 @@ def fit_quality_model(
 
 
 def _votes(rows: np.ndarray, model: QualityModel) -> np.ndarray:
-    """Share of the nearest labels' weight that says 1, for each row of latent unit vectors."""
+    """Share of the nearest labels' weight that says 1, for each row of latent unit vectors.
+
+    Cosines are rounded far above the error of the products, and the first labels win ties, so a
+    row's votes do not depend on the rows scored with it.
+    """
     if not len(model.labels):
         return np.full(len(rows), 0.5)
-    cosines = rows @ model.vectors.T
+    cosines = np.round(rows @ model.vectors.T, 9)
     most = min(NEIGHBOURS, len(model.labels))
-    near = np.argpartition(-cosines, most - 1, axis=1)[:, :most]
-    weight = np.clip(np.take_along_axis(cosines, near, 1).astype(np.float64), 1e-6, 1) ** SHARPNESS
+    least = -np.partition(-cosines, most - 1, axis=1)[:, most - 1 : most]
+    nearer, ties = cosines > least, cosines == least
+    ties &= np.cumsum(ties, axis=1) <= most - nearer.sum(1, keepdims=True)
+    near = np.nonzero(nearer | ties)[1].reshape(len(rows), most)
+    weight = np.clip(np.take_along_axis(cosines, near, 1), 1e-6, 1) ** SHARPNESS
     return ((weight * model.labels[near]).sum(1) / weight.sum(1)).clip(0, 1)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,9 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
+    @cached_property
     def dense(self) -> np.ndarray:
+        """All weights by bucket: made once in each Python process that scores."""
         table = np.zeros(1 << BUCKET_BITS, np.float64)
         table[self.buckets] = self.weights
         return table
@@ -159,7 +162,7 @@ def score_toxicity(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def toxic(array: pa.Array) -> pa.Array:
-        table = shared.value.dense()
+        table = shared.value.dense
         scores = [np.zeros(0)]
         for part in text_slices(array):
             owner, hashed = _features(texts_of(part))

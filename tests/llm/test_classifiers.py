@@ -1,12 +1,16 @@
 """Language ID, toxicity and quality: held-out accuracy and awkward inputs."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keelson.llm import language_id, quality, toxicity
+from keelson.llm.common import hash_spans, mix
 from tests.llm import helpers
 
 
@@ -112,7 +116,7 @@ def test_labels_with_awkward_rows(spark, run):
 def test_toxicity_weights_are_sparse(spark, labelled):
     model = toxicity.fit_toxicity_model(*labelled)
     assert 0 < len(model.buckets) < 2_000
-    assert np.count_nonzero(model.dense()) == len(model.buckets)
+    assert np.count_nonzero(model.dense) == len(model.buckets)
 
 
 def test_quality_votes_equal_brute_force():
@@ -126,3 +130,95 @@ def test_quality_votes_equal_brute_force():
         near = np.argsort(-cosines)[: quality.NEIGHBOURS]
         weight = np.clip(cosines[near], 1e-6, 1) ** quality.SHARPNESS
         assert vote == pytest.approx((weight * model.labels[near]).sum() / weight.sum())
+
+
+def test_quality_scores_do_not_depend_on_the_batch(spark, labelled):
+    docs, marks = labelled
+    model = quality.fit_quality_model(docs, marks)
+    texts = [r["text"] for r in docs.collect()]
+    same = quality.QualityModel(
+        model.term_weights,
+        model.projection,
+        np.repeat(model.vectors[:1], 100, axis=0),
+        np.arange(100) % 2.0,
+    )
+    for own in (model, same):
+        def votes(part, own=own):
+            counts = quality.term_counts(pa.array(part))
+            return quality._votes(quality._unit(quality._weighted(counts, own.term_weights) @ own.projection), own)
+
+        whole = votes(texts * 2)
+        assert [votes([t])[0] for t in texts[:40]] == whole[:40].tolist()
+        assert whole[: len(texts)].tolist() == whole[len(texts) :].tolist()
+
+
+def test_a_language_of_copies_is_learned_once(spark, monkeypatch):
+    for text in ("Texto igual de siempre", "otro texto repetido", "la misma cosa otra vez", "uno mas"):
+        rows = [(i, text, "es") for i in range(500)] + [(1_000 + i, f"english text number {i}", "en") for i in range(40)]
+        model = language_id.fit_language_model(helpers.documents(spark, rows), rows_per_language=30)
+        k = model.languages.index("es")
+        grams = sum(len(own) for own, _ in language_id._ngrams([text]))
+        assert model.totals[k] == grams
+
+
+def plain_features(text):
+    """Distinct buckets of a text by a dictionary of byte strings."""
+    words = [m[0] for m in re.finditer(rb"[a-z\x80-\xff]+", text.lower().encode())]
+
+    def number(word):
+        data = np.frombuffer(word, np.uint8)
+        return int(hash_spans(data, np.array([0]), np.array([len(word)]))[0])
+
+    hashes = [number(w) for w in words]
+    found = set(hashes)
+    for size in toxicity.STEMS:
+        found |= {(number(w[:size]) + size) % 2**64 for w in words if len(w) > size}
+    for gap in toxicity.GAPS:
+        for a, b in zip(hashes, hashes[gap:], strict=False):
+            second = int(mix(np.array([(b + gap) % 2**64], np.uint64))[0])
+            found.add((a * (2 * gap + 1) + second) % 2**64)
+    return {int(mix(np.array([h], np.uint64))[0]) >> (64 - toxicity.BUCKET_BITS) for h in found}
+
+
+def plain_ftrl(examples):
+    """The published update, one coordinate after the other, in dictionaries."""
+    z, n = {}, {}
+    share = min(max(sum(y for _, y in examples) / len(examples), 1e-3), 1 - 1e-3)
+    offset = math.log(share / (1 - share))
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        rate = (toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2
+        return -(z[i] - sign * toxicity.L1) / rate
+
+    for _ in range(toxicity.EPOCHS):
+        for buckets, y in examples:
+            own = {i: weight(i) for i in [*buckets, "bias"]}
+            g = 1 / (1 + math.exp(-(sum(own.values()) + offset))) - y
+            for i, w in own.items():
+                before = n.get(i, 0.0)
+                sigma = (math.sqrt(before + g * g) - math.sqrt(before)) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w
+                n[i] = before + g * g
+    weights = {i: weight(i) for i in z if i != "bias"}
+    return {i: w for i, w in weights.items() if w}, weight("bias") + offset
+
+
+def test_toxicity_equals_a_plain_loop(spark, labelled):
+    docs, marks = labelled
+    toxic = {r["doc_id"]: r["toxic"] for r in marks.collect()}
+    # The order of the examples is that of the choice.
+    chosen = toxicity.labelled_texts(docs, marks, "toxic", toxicity.TRAINING_ROWS).collect()
+    chosen.sort(key=lambda r: (r["order"], r["text"], r["label"]))
+    weights, bias = plain_ftrl([(plain_features(r["text"]), r["label"]) for r in chosen])
+    model = toxicity.fit_toxicity_model(docs, marks)
+    assert set(model.buckets.tolist()) == set(weights)
+    assert np.allclose(model.weights, [weights[b] for b in model.buckets.tolist()], atol=1e-9)
+    assert abs(model.bias - bias) < 1e-9
+    scored = toxicity.score_toxicity(helpers.with_clashes(docs, "_text", "table"), model).collect()
+    assert len(scored) == len(toxic)
+    for row in scored:
+        total = bias + sum(weights.get(b, 0.0) for b in plain_features(row["text"]))
+        assert abs(row["score"] - 1 / (1 + math.exp(-total))) < 1e-9
