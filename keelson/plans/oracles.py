@@ -414,6 +414,13 @@ ORACLES["name_similarities"] = f"""WITH RECURSIVE {PAIRS},
 named AS MATERIALIZED (SELECT case_id AS k, {name("mention")} AS a, {name("candidate_name")} AS b FROM pairs),
 {block_ratio("named")}
 SELECT k AS case_id, ratio AS similarity FROM ratios"""
+ORACLES["name_candidates"] = f"""WITH RECURSIVE
+names AS (SELECT {name("p_name")} AS s, count(*) AS n FROM part GROUP BY 1),
+named AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, x.s AS a, y.s AS b, x.n AS n_mentions, y.n AS n_candidates FROM names x, names y),
+{block_ratio("named")}
+SELECT a AS mention, b AS candidate, ratio AS similarity, n_mentions, n_candidates
+FROM named JOIN ratios USING (k) WHERE ratio >= 0.78"""
 RESOLVED = f"""WITH RECURSIVE {PAIRS},
 spelled AS MATERIALIZED (
   SELECT case_id, mention, unnest([candidate_name, cb, cn || ' Inc']) AS spelling, unnest([0, 1, 2]) AS nth FROM pairs),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import events, risk, text
 from keelson.operators import (
+    boosting,
+    candidates,
     entities,
     evaluation,
     features,
@@ -691,6 +692,16 @@ def exact_name_matches(spark, sf_dir):
     return given.entity_pairs(spark, sf_dir).select("case_id", same.alias("same"))
 
 
+@query
+def name_candidates(spark, sf_dir):
+    """M6: all pairs of similar part names, with how many parts have them."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    found = candidates.similar_names(
+        parts, parts, mention="p_name", candidate="p_name", mention_key="p_partkey", candidate_key="p_partkey"
+    )
+    return candidates.candidate_links(found)
+
+
 @query
 def entity_thresholds(spark, sf_dir):
     """M4, J5."""
@@ -755,22 +766,20 @@ def _logistic(spark, sf_dir):
     labeled = cut_lineage(_split_history(spark, sf_dir))
     train = labeled.filter(F.col("split") == "Train")
     scaling = models.fit_scaling(train)
-    return labeled, scaling, models.fit_logistic(models.with_vectors(train, scaling))
+    return labeled, scaling, models.fit_logistic(train, scaling)
 
 
 @query
 def calibrated_logistic(spark, sf_dir):
     """Margin, probability and calibrated probability of the test rows."""
     labeled, scaling, model = _logistic(spark, sf_dir)
-    scored = model.transform(models.with_vectors(labeled, scaling)).withColumn(
-        "margin", vector_to_array("rawPrediction")[1]
-    )
+    scored = labeled.withColumn("margin", models.linear_margin(model, scaling))
     fit = models.fit_sigmoid(scored.filter(F.col("split") == "Calibration"), "margin")
     return scored.filter(F.col("split") == "Test").select(
         "supplier_id",
         "observation_date",
         "margin",
-        vector_to_array("probability")[1].alias("probability"),
+        models.sigmoid(F.col("margin"), 1.0, 0.0).alias("probability"),
         models.sigmoid(F.col("margin"), *fit).alias("calibrated"),
     )
 
@@ -782,22 +791,35 @@ def linear_contributions(spark, sf_dir):
     return models.linear_contributions(labeled.filter(F.col("split") == "Test"), model, scaling)
 
 
+def _boosted(spark, sf_dir):
+    labeled = cut_lineage(_split_history(spark, sf_dir))
+    trees = models.fit_trees(labeled.filter(F.col("split") == "Train"))
+    return labeled.filter(F.col("split") == "Test"), trees
+
+
 @query
 def tree_importances(spark, sf_dir):
     """Gain and permutation importance of the boosted trees."""
-    labeled = cut_lineage(_split_history(spark, sf_dir))
-    train = labeled.filter(F.col("split") == "Train")
-    scaling = models.fit_scaling(train)
-    trees = models.fit_trees(models.with_vectors(train, scaling))
-    gains = models.feature_importance(trees, spark)
-    test = labeled.filter(F.col("split") == "Test")
-    return gains.unionByName(
-        models.permutation_importance(test, trees, scaling).withColumnRenamed(
-            "brier_increase", "importance"
-        )
+    test, trees = _boosted(spark, sf_dir)
+    return models.feature_importance(trees, spark).unionByName(
+        models.permutation_importance(test, trees).withColumnRenamed("brier_increase", "importance")
     )
 
 
+@query
+def tree_contributions(spark, sf_dir):
+    """L9 for the trees: mean absolute and mean signed Shapley values on the held-out months."""
+    test, trees = _boosted(spark, sf_dir)
+    return boosting.mean_contributions(test, trees)
+
+
+@query
+def explained_margins(spark, sf_dir):
+    """L9 for the trees, row by row: what each feature adds to a held-out row's margin."""
+    test, trees = _boosted(spark, sf_dir)
+    return models.explained_margins(test, trees)
+
+
 @query
 def risk_model_metrics(spark, sf_dir):
     """Four models on the held-out months."""

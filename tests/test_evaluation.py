@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,18 +188,23 @@ def test_risk_benchmark_splits_by_time_and_calibrates(spark):
     # The gradient of the penalised loss vanishes at the fitted coefficients.
     scaling, model = result.models["scaling"], result.models["Logistic regression"]
     labeled = models.temporal_split(features.add_time_aware_features(synthetic_history(spark)))
-    train = models.with_vectors(labeled.filter("split = 'Train'"), scaling)
+    scaled = F.array(*[scaling.scaled(c) for c in features.TIME_FEATURES]).alias("scaled")
+    train = labeled.filter("split = 'Train'").select("*", scaled)
     train = train.withColumn("w", models.balanced_weight(train, models.TARGET)[0])
     rows = train.select("scaled", "w", models.TARGET).collect()
-    b = model.coefficients.toArray()
+    b = np.array(model.coefficients)
     gradient = b.copy()
     for r in rows:
-        x = r.scaled.toArray()
+        x = np.array(r.scaled)
         p = 1 / (1 + math.exp(-(x @ b + model.intercept)))
         gradient += r.w * (p - r[models.TARGET]) * x
-    assert abs(gradient).max() < 1e-3
-    shuffled = models.permutation_importance(result.test, result.models["Boosted trees"], scaling)
+    assert abs(gradient).max() < 1e-8
+    trees = result.models["Boosted trees"]
+    shuffled = models.permutation_importance(result.test, trees)
     assert shuffled.count() == len(features.TIME_FEATURES)
+    for r in models.explained_margins(result.test, trees).collect():
+        parts = [r[f"{c}_contribution"] for c in features.TIME_FEATURES]
+        assert abs(r.base_margin + sum(parts) - r.margin) < 1e-9
 
 
 def test_temporal_split_needs_ten_dates(spark):
