@@ -21,6 +21,8 @@ from keelson.session import cut_lineage
 MOST_STEPS = 100
 #: The largest change of a coefficient in a last step, relative to the largest coefficient.
 ENOUGH = 1e-10
+#: Relative rounding error allowed for in sums of losses.
+ROUNDING = 1e-12
 
 
 class LinearModel(NamedTuple):
@@ -100,10 +102,12 @@ def fit_newton(
         while True:
             new = at + size * step
             new_loss, new_gradient, new_gram = evaluate(new)
-            if new_loss <= loss or size < 1e-6:
+            # Near the optimum losses differ by less than their rounding.
+            lower = new_loss <= loss + ROUNDING * abs(loss)
+            if lower or size < 1e-6:
                 break
             size /= 2
-        if new_loss > loss:
+        if not lower:
             break
         change = np.abs(new - at).max()
         at, loss, gradient, gram = new, new_loss, new_gradient, new_gram

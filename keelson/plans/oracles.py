@@ -761,6 +761,68 @@ medians AS (SELECT {_medians} FROM labeled WHERE split = 'Train'),
 filled AS (SELECT supplier_id, observation_date, split, {_filled} FROM labeled f, medians m),
 moments AS (SELECT {_moments} FROM filled WHERE split = 'Train')
 SELECT supplier_id, observation_date, {_scaled} FROM filled, moments"""
+_width = len(FEATURE_NAMES) + 1
+_points = ", ".join(f"({c} - a_{c}) / s_{c}" for c in FEATURE_NAMES)
+# Newton's method: per step one Gram matrix and gradient, then Gauss-Jordan over lists. A fold over
+# the pivots needs elements of one type, so a pivot's number travels as a matrix of one cell.
+LOGISTIC = f"""WITH RECURSIVE {HISTORY}, {FEATURED}, {SPLIT},
+labeled AS (SELECT * FROM featured JOIN split_days USING (observation_date)),
+medians AS (SELECT {_medians} FROM labeled WHERE split = 'Train'),
+filled AS (SELECT supplier_id, observation_date, split, disruption_next_30d AS y, {_filled} FROM labeled f, medians m),
+moments AS (SELECT {_moments} FROM filled WHERE split = 'Train'),
+points AS MATERIALIZED (SELECT supplier_id, observation_date, split, y, [{_points}, 1.0::DOUBLE] AS x FROM filled, moments),
+classes AS (
+  SELECT y, sum(count(*)) OVER () / (count(*) OVER () * count(*))::DOUBLE AS w FROM points WHERE split = 'Train' GROUP BY y),
+train AS MATERIALIZED (SELECT x, y, w FROM points JOIN classes USING (y) WHERE split = 'Train'),
+places AS (SELECT unnest(range(1, {_width + 1})) AS i),
+steps(step, b) AS (
+  SELECT 0, [0.0::DOUBLE for i in range({_width})]
+  UNION ALL
+  SELECT step + 1, [b[i] - solved[i][{_width + 1}] for i in range(1, {_width + 1})] FROM (
+    SELECT step, b, list_reduce([m] || [[[k::DOUBLE]] for k in range(1, {_width + 1})],
+      lambda m, q: [[CASE WHEN i = q[1][1] THEN m[i][j] / m[q[1][1]::INT][q[1][1]::INT]
+        ELSE m[i][j] - m[i][q[1][1]::INT] / m[q[1][1]::INT][q[1][1]::INT] * m[q[1][1]::INT][j] END
+        for j in range(1, {_width + 2})] for i in range(1, {_width + 1})]) AS solved
+    FROM (
+      SELECT step, any_value(b) AS b, list(line ORDER BY i) AS m FROM (
+        SELECT step, any_value(b) AS b, i,
+          list(h + CASE WHEN i = j AND i < {_width} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY j)
+            || [max(g) + CASE WHEN i < {_width} THEN any_value(b)[i] ELSE 0.0::DOUBLE END] AS line
+        FROM (
+          SELECT step, any_value(b) AS b, r.i AS i, c.i AS j, sum(w * p * (1 - p) * x[r.i] * x[c.i]) AS h,
+            sum(w * (p - y) * x[r.i]) AS g
+          FROM (SELECT n.step, n.b, t.x, t.y, t.w, 1 / (1 + exp(-list_dot_product(t.x, n.b))) AS p FROM steps n, train t),
+            places r, places c
+          GROUP BY step, r.i, c.i)
+        GROUP BY step, i)
+      GROUP BY step)
+    WHERE step < 12)),
+fitted AS MATERIALIZED (SELECT b FROM steps ORDER BY step DESC LIMIT 1),
+scored AS MATERIALIZED (
+  SELECT supplier_id, observation_date, split, y, x, b, list_dot_product(x, b) AS margin FROM points, fitted)"""
+ORACLES["calibrated_logistic"] = LOGISTIC + """,
+held AS MATERIALIZED (
+  SELECT margin AS s, CASE WHEN y = 1 THEN (sum(y) OVER () + 1) / (sum(y) OVER () + 2)::DOUBLE
+    ELSE 1 / (count(*) OVER () - sum(y) OVER () + 2)::DOUBLE END AS t
+  FROM scored WHERE split = 'Calibration'),
+platt(step, a, c) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, a - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), c - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+  FROM (
+    SELECT step, any_value(a) AS a, any_value(c) AS c, sum(p * (1 - p) * s * s) AS h11, sum(p * (1 - p) * s) AS h12,
+      sum(p * (1 - p)) AS h22, sum((p - t) * s) AS g1, sum(p - t) AS g2
+    FROM (SELECT step, a, c, s, t, 1 / (1 + exp(-(a * s + c))) AS p FROM platt, held) GROUP BY step)
+  WHERE step < 20),
+line AS (SELECT a, c FROM platt ORDER BY step DESC LIMIT 1)
+SELECT supplier_id, observation_date, round(margin, 6) AS margin, round(1 / (1 + exp(-margin)), 6) AS probability,
+  round(1 / (1 + exp(-(a * margin + c))), 6) AS calibrated
+FROM scored, line WHERE split = 'Test'"""
+ORACLES["linear_contributions"] = LOGISTIC + f""",
+named AS (SELECT unnest({FEATURE_NAMES}) AS feature, unnest(range(1, {_width})) AS i)
+SELECT feature, round(avg(abs(x[i] * b[i])), 7) AS mean_abs_contribution,
+  round(avg(x[i] * b[i]), 7) AS directional_mean_contribution
+FROM scored, named WHERE split = 'Test' GROUP BY feature"""
 ORACLES["tfidf_weights"] = """WITH
 docs AS (SELECT doc_id AS id, lower(split_part(text, chr(10), 1) || '. ' || text) AS body FROM documents),
 worded AS (SELECT id, regexp_extract_all(body, '[\\p{L}\\p{N}_]{2,}') AS w FROM docs),

@@ -775,12 +775,15 @@ def calibrated_logistic(spark, sf_dir):
     labeled, scaling, model = _logistic(spark, sf_dir)
     scored = labeled.withColumn("margin", models.linear_margin(model, scaling))
     fit = models.fit_sigmoid(scored.filter(F.col("split") == "Calibration"), "margin")
-    return scored.filter(F.col("split") == "Test").select(
-        "supplier_id",
-        "observation_date",
-        "margin",
-        models.sigmoid(F.col("margin"), 1.0, 0.0).alias("probability"),
-        models.sigmoid(F.col("margin"), *fit).alias("calibrated"),
+    return _rounded(
+        scored.filter(F.col("split") == "Test").select(
+            "supplier_id",
+            "observation_date",
+            "margin",
+            models.sigmoid(F.col("margin"), 1.0, 0.0).alias("probability"),
+            models.sigmoid(F.col("margin"), *fit).alias("calibrated"),
+        ),
+        6,
     )
 
 
@@ -788,7 +791,9 @@ def calibrated_logistic(spark, sf_dir):
 def linear_contributions(spark, sf_dir):
     """L9 for the linear model."""
     labeled, scaling, model = _logistic(spark, sf_dir)
-    return models.linear_contributions(labeled.filter(F.col("split") == "Test"), model, scaling)
+    return _rounded(
+        models.linear_contributions(labeled.filter(F.col("split") == "Test"), model, scaling), 7
+    )
 
 
 def _boosted(spark, sf_dir):
