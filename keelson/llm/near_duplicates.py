@@ -423,3 +423,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .withColumn("component_id", F.when(F.col(key).isNotNull(), F.col("component_id")))
         .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id.
+
+    Rows that share an id are judged each by its text: near copies go, other texts stay. Of equal
+    ids the least hash of id and text decides, of equal texts the least hash of the row. A document
+    without id is no duplicate of anything.
+    """
+    columns = docs.columns
+    number = F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    named = docs.where("doc_id is not null").select(F.struct(*columns).alias("row"), number.alias("number"))
+    rows = named.select("number", "row.doc_id", "row.text")
+    found = near_duplicates(rows, key="number").select("number", "component_id")
+    first = (
+        found.distinct()
+        .join(rows.select("number", "doc_id").distinct().hint("shuffle_hash"), "number")
+        .groupBy("component_id")
+        .agg(F.min(F.struct("doc_id", "number"))["number"].alias("number"))
+        .select("number")
+    )
+    kept = (
+        named.join(first.hint("shuffle_hash"), "number", "left_semi")
+        .withColumn("draw", F.xxhash64("row"))
+        .groupBy("number")
+        .agg(F.min_by("row", "draw").alias("row"))
+        .select("row.*")
+    )
+    return kept.unionByName(docs.where("doc_id is null"))
