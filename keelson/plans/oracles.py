@@ -522,6 +522,7 @@ SELECT a.article_pos, b.article_pos AS kept_article_pos, round(
 FROM found JOIN titles a ON a.rn = found.rn JOIN titles b ON b.rn = found.kept"""
 ORACLES["deduplicated_articles"] = f"""WITH RECURSIVE {NEWS}, {greedy("news")}
 SELECT n.article_pos, n.source FROM news n JOIN titles t USING (article_pos) JOIN kept_rows k ON k.rn = t.rn"""
+ORACLES["streamed_titles"] = ORACLES["deduplicated_articles"]
 ORACLES["relevance_scores"] = f"""WITH {SUPPLIERS}, {NEWS}, {NEIGHBOURS},
 bags AS MATERIALIZED (SELECT article_pos, {tokens(BODY)} AS tk, {tokens("supplier_name")} AS names, {tokens("location")} AS places FROM neighbours)
 SELECT * FROM (SELECT article_pos, {relevance("tk", "names", "places")} AS relevance_score FROM bags)

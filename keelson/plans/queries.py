@@ -143,6 +143,20 @@ def payload_stream(spark, sf_dir):
     return landed.withColumn("at", F.col("article_pos.at")).drop("article_pos")
 
 
+@query
+def streamed_titles(spark, sf_dir):
+    """S4, N4, N5, S5 as a stream: first-kept titles over four triggers."""
+    landing, out = shared_scratch(spark), shared_scratch(spark)
+    news = given.news(spark, sf_dir).select("article_pos", "title", "source", "published_at")
+    end = news.agg(F.max("article_pos")).first()[0]
+    share = F.floor((F.col("article_pos") + 1) * 4 / (0 if end is None else end + 1) - 1e-9)
+    for part in range(4):  # one after the other, as answers land
+        news.where(share == part).coalesce(1).write.json(f"{landing}/{part}")
+    stream = spark.readStream.schema(news.schema).option("maxFilesPerTrigger", 1).json(f"{landing}/*")
+    news_stream.land_first_titles(stream, out, shared_scratch(spark)).awaitTermination()
+    return spark.read.parquet(out).select("article_pos", "source")
+
+
 # --- supplier checks --------------------------------------------------------------------------
 
 
