@@ -61,6 +61,46 @@ def test_every_drop_repeats_the_first_kept_similar_title(spark, tuning):
         assert r.kept_article_pos == first < r.article_pos
 
 
+def test_first_partners_in_a_crowded_bucket_without_the_product(spark, monkeypatch):
+    # One bucket: all titles share k1..k9. Kept ones differ in two more words, each dropped one
+    # repeats one of the first kept titles.
+    stem = " ".join(f"k{i}" for i in range(1, 10))
+    kept = [(i, f"{stem} a{i} b{i} c{i} d{i}") for i in range(150)]
+    dropped = [(1_000 + i, f"{stem} a{i % 5} b{i % 5} c{i % 5} d{i % 5} e{i}") for i in range(300)]
+    titles = kept + dropped
+    emitted = []
+    joined = similarity.salted_join
+
+    def counted(many, few, on, *args, **kwargs):
+        found = joined(many, few, on, *args, **kwargs)
+        if "block" in few.columns:
+            emitted.append(found.where("earlier < best").count())
+        return found
+
+    monkeypatch.setattr(similarity, "salted_join", counted)
+    df = titles_frame(spark, titles)
+    got = {r.article_pos: r.kept_article_pos for r in similarity.near_duplicates(df, 0.85, window=4, crowd=8).collect()}
+    assert got == {1_000 + i: i % 5 for i in range(300)}
+    assert sum(emitted) < 300 * 150 / 4
+
+
+@pytest.mark.parametrize("scan", [2_000_000, 40])
+def test_long_chains_take_few_rounds(spark, monkeypatch, scan):
+    # Each title is similar to the next one only: every second one stays.
+    chain = [(i, " ".join(f"c{j}" for j in range(i, i + 8))) for i in range(120)]
+    other = [(1_000 + i, t) for i, (_, t) in enumerate(template_titles(21, 80, 20, 3))]
+    rounds = []
+    front = similarity._front_drops
+    monkeypatch.setattr(similarity, "SCAN_PAIRS", scan)
+    monkeypatch.setattr(similarity, "FRONT_ROUNDS", 2)
+    monkeypatch.setattr(similarity, "_front_drops", lambda *args: rounds.append(1) or front(*args))
+    titles = chain + other
+    kept = similarity.deduplicate_news(titles_frame(spark, titles), 0.72, window=8)
+    assert sorted(r.article_pos for r in kept.collect()) == greedy(titles, 0.72)
+    if scan > 1_000:
+        assert len(rounds) <= 20
+
+
 def test_dedup_chain_and_copies(spark):
     # a-b and b-c are similar, a-c are not: c stays.
     a, b, c = "k1 k2 k3 k4 k5 k6", "k1 k2 k3 k4 k5 k6 k7", "k2 k3 k4 k5 k6 k7 k8"
