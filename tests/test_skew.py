@@ -109,7 +109,7 @@ def test_dedup_chain_and_copies(spark):
     assert sorted(r.article_pos for r in kept.collect()) == greedy(titles, 0.72) == [0, 2, 3]
 
 
-@pytest.mark.parametrize("tuning", [{}, {"pairs_per_token": 3}, {"pairs_per_token": 0, "most_combined": 1}])
+@pytest.mark.parametrize("tuning", [{}, {"pairs_per_token": 3}, {"pairs_per_token": 0}])
 def test_ranking_equals_all_pairs(spark, tuning):
     rng = random.Random(11)
     words = ["global", "china", "port", "steel", "alpha", "beta", "gamma", "delta"]
@@ -134,6 +134,46 @@ def test_ranking_equals_all_pairs(spark, tuning):
     assert got == top_articles(suppliers, articles, terms, 3)
 
 
+def test_ranking_by_many_frequent_tokens_without_the_product(spark, monkeypatch):
+    # Every supplier holds ten or more tokens that a large part of all articles holds.
+    rng = random.Random(12)
+    words = [f"hot{i}" for i in range(14)]
+    terms = ["strike", "flood", "fire"]
+    suppliers = [
+        (f"S{i}", " ".join(rng.sample(words, rng.randint(8, 12))), " ".join(rng.sample(words, 2)))
+        for i in range(12)
+    ]
+    suppliers += [(f"T{i}", *suppliers[i % 3][1:]) for i in range(200)]
+    articles = [
+        (i, " ".join(rng.sample(words, rng.randint(1, 8)) + rng.sample(terms, rng.randint(0, 2))))
+        for i in range(400)
+    ]
+    asked, shown = [], []
+    search, offers = matching._best_holders, matching._offers
+    monkeypatch.setattr(
+        matching,
+        "_best_holders",
+        lambda holders, combinations, limit: asked.append(combinations.distinct().count())
+        or search(holders, combinations, limit),
+    )
+    monkeypatch.setattr(
+        matching, "_offers", lambda reached: shown.append(offers(reached).count()) or offers(reached)
+    )
+    ranked = matching.rank_for_suppliers(
+        spark.createDataFrame(suppliers, "supplier_id string, supplier_name string, location string"),
+        spark.createDataFrame(articles, "article_pos long, title string"),
+        terms=terms,
+        pairs_per_token=0,
+    ).collect()
+    got = {s[0]: [] for s in suppliers}
+    for r in sorted(ranked, key=lambda r: r.article_rank):
+        got[r.supplier_id].append((r.article_pos, r.relevance_score))
+    assert got == top_articles(suppliers, articles, terms, 3)
+    # Fewer rows than the 84,800 pairs, and few of the 2 ** 12 combinations of each profile.
+    assert sum(shown) < len(suppliers) * len(articles) / 4
+    assert sum(asked) < 2**12
+
+
 def history(spark, months=40, suppliers=3):
     rng = random.Random(5)
     rows = []
