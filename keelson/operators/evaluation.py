@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,16 +90,20 @@ def risk_prediction_errors(
 
 
 def count_above(
-    predictions: DataFrame, score: str, thresholds: list[float], actual: str = "actual"
+    predictions: DataFrame,
+    score: str,
+    thresholds: list[float],
+    actual: str = "actual",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Per threshold: true and false positives, and all positives.
+    """Per threshold (and group): true and false positives, and all positives.
 
     Rows are counted once by how many thresholds they reach; the thresholds are then sums over
     that table of at most ``2 * (len(thresholds) + 1)`` rows. No grid is joined to the rows.
     """
     reached = F.size(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: F.col(score) >= t))
     positive = F.col(actual).cast("int") == 1
-    counted = predictions.groupBy(reached.alias("reached"), positive.alias("positive")).agg(
+    counted = predictions.groupBy(*by, reached.alias("reached"), positive.alias("positive")).agg(
         F.count("*").alias("n")
     )
 
@@ -113,7 +119,7 @@ def count_above(
         )
         for i, t in enumerate(thresholds)
     ]
-    return counted.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    return counted.groupBy(*by).agg(F.array(*cells).alias("cells")).select(*by, F.inline("cells"))
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -121,12 +127,19 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def threshold_sweep(
-    predictions: DataFrame, false_negative_cost: float = 5.0, false_positive_cost: float = 1.0
+    predictions: DataFrame,
+    false_negative_cost: float = 5.0,
+    false_positive_cost: float = 1.0,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Precision, recall, misses, false alerts and their cost at each alert threshold."""
+    """Precision, recall, misses, false alerts and their cost at each alert threshold.
+
+    Of all rows, or of each group of ``by``, such as each model.
+    """
     tp, fp, positives = F.col("true_positives"), F.col("false_positives"), F.col("positives")
     misses = positives - tp
-    return count_above(predictions, "probability", sweep_thresholds()).select(
+    return count_above(predictions, "probability", sweep_thresholds(), by=by).select(
+        *by,
         exact_round(F.col("threshold"), 2).alias("threshold"),
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, positives).alias("recall"),
@@ -136,8 +149,12 @@ def threshold_sweep(
     )
 
 
-def lowest_cost_threshold(sweep: DataFrame) -> DataFrame:
-    return sweep.orderBy("relative_decision_cost", "threshold").limit(1)
+def lowest_cost_threshold(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The row of the lowest cost (of each group of ``by``), ties to the smaller threshold."""
+    rest = [c for c in sweep.columns if c not in (*by, "relative_decision_cost", "threshold")]
+    row = F.min(F.struct("relative_decision_cost", "threshold", *rest)).alias("row")
+    best = sweep.groupBy(*by).agg(row).filter(F.col("row").isNotNull())
+    return best.select(*by, "row.*").select(*sweep.columns)
 
 
 def f1(precision: Column, recall: Column) -> Column:
@@ -184,21 +201,35 @@ def probability_metrics(predictions: DataFrame) -> DataFrame:
     )
 
 
-def reliability_curve(predictions: DataFrame, bins: int = 5) -> DataFrame:
-    """Mean predicted and observed rate in quantile bins of one model's probabilities."""
+def reliability_curve(
+    predictions: DataFrame, bins: int = 5, models: Sequence[str] | None = None
+) -> DataFrame:
+    """Mean predicted and observed rate in quantile bins of one model's probabilities.
+
+    With ``models``, of each of these, in a column ``model``; all quantiles are found together.
+    """
     inner = [i / bins for i in range(1, bins)]
-    edges = exact_quantiles(predictions, {"probability": inner})["probability"]
-    bin_ = F.size(
-        F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("probability"))
-    )
+    p = F.col("probability")
+    if models is None:
+        by, given = [], predictions.select("actual", p, p.alias("_p0"))
+    else:
+        by = ["model"]
+        own = [F.when(F.col("model") == m, p).alias(f"_p{i}") for i, m in enumerate(models)]
+        given = predictions.filter(F.col("model").isin(*models)).select("model", "actual", p, *own)
+    parts = [c for c in given.columns if c.startswith("_p")]
+    edges = exact_quantiles(given, {c: inner for c in parts})
+    below = [
+        F.size(F.filter(F.array(*[F.lit(e) for e in edges[c]]), lambda e: e < p)) for c in parts
+    ]
+    bin_ = F.coalesce(*[F.when(F.col(c).isNotNull(), b) for c, b in zip(parts, below)])
     return (
-        predictions.groupBy(bin_.alias("bin"))
+        given.groupBy(*by, bin_.alias("bin"))
         .agg(
             F.avg("probability").alias("mean_predicted_probability"),
             F.avg(F.col("actual").cast("double")).alias("observed_rate"),
             F.count("*").alias("rows"),
         )
-        .orderBy("bin")
+        .orderBy(*by, "bin")
     )
 
 

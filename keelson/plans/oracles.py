@@ -668,12 +668,12 @@ GRID = ", ".join(f"(0.15::DOUBLE + {i} * ((0.15::DOUBLE + 0.05::DOUBLE) - 0.15::
 def sweep(miss: float, alarm: float) -> str:
     return f"""WITH {BINARY}, grid AS (SELECT unnest([{GRID}]) AS threshold),
 tally AS (
-  SELECT threshold, count(*) FILTER (actual = 1 AND probability >= threshold) AS tp,
+  SELECT model, threshold, count(*) FILTER (actual = 1 AND probability >= threshold) AS tp,
     count(*) FILTER (actual = 0 AND probability >= threshold) AS fp,
     count(*) FILTER (actual = 1 AND probability < threshold) AS fn
-  FROM grid, predictions WHERE model = 'Length' GROUP BY 1),
+  FROM grid, predictions GROUP BY 1, 2),
 swept AS (
-  SELECT round(threshold, 2) AS threshold, round(tp / greatest(tp + fp, 1), 9) AS precision,
+  SELECT model, round(threshold, 2) AS threshold, round(tp / greatest(tp + fp, 1), 9) AS precision,
     round(tp / greatest(tp + fn, 1), 9) AS recall, fp AS false_positives, fn AS false_negatives,
     round(fn * {miss}::DOUBLE + fp * {alarm}::DOUBLE, 7) AS relative_decision_cost FROM tally)
 """
@@ -681,7 +681,8 @@ swept AS (
 
 ORACLES["threshold_sweep"] = sweep(5, 1) + "SELECT * FROM swept"
 ORACLES["lowest_cost_threshold"] = sweep(1, 1) + """
-SELECT threshold, relative_decision_cost FROM swept ORDER BY relative_decision_cost, threshold LIMIT 1"""
+SELECT * FROM swept
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY relative_decision_cost, threshold) = 1"""
 METRICS = f"""{BINARY},
 by_score AS (
   SELECT model, probability, count(*) FILTER (actual = 1) AS pos, count(*) FILTER (actual = 0) AS neg
@@ -709,10 +710,10 @@ SELECT model, round(roc_auc, 9) AS roc_auc, round(pr_auc, 9) AS pr_auc, round(br
 ORACLES["best_calibrated_model"] = f"""WITH {METRICS}
 SELECT arg_min(model, brier_score) AS model FROM metrics WHERE contains(model, 'calibration')"""
 ORACLES["reliability_curve"] = f"""WITH {BINARY},
-edges AS (SELECT quantile_cont(probability, [0.2, 0.4, 0.6, 0.8]) AS e FROM predictions WHERE model = 'Length')
-SELECT CAST(len(list_filter(e, lambda x: x < probability)) AS INTEGER) AS bin,
+edges AS (SELECT model, quantile_cont(probability, [0.2, 0.4, 0.6, 0.8]) AS e FROM predictions GROUP BY 1)
+SELECT model, CAST(len(list_filter(e, lambda x: x < probability)) AS INTEGER) AS bin,
   round(avg(probability), 9) AS mean_predicted_probability, round(avg(actual), 9) AS observed_rate, count(*) AS rows
-FROM predictions, edges WHERE model = 'Length' GROUP BY 1"""
+FROM predictions JOIN edges USING (model) GROUP BY 1, 2"""
 ORACLES["class_metrics"] = f"""WITH {CLASSES},
 labels_seen AS (SELECT actual AS label FROM classes UNION SELECT predicted FROM classes),
 per_label AS (

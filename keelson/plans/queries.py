@@ -598,10 +598,6 @@ def class_errors(spark, sf_dir):
     return errors.select("article_id", "error_type", "confidence_band", "confidence")
 
 
-def _lengths(spark, sf_dir):
-    return given.binary_predictions(spark, sf_dir).filter(F.col("model") == "Length")
-
-
 @query
 def risk_error_summary(spark, sf_dir):
     """Counts."""
@@ -618,15 +614,17 @@ def risk_errors(spark, sf_dir):
 
 @query
 def threshold_sweep(spark, sf_dir):
-    """E3, J6."""
-    return _rounded(evaluation.threshold_sweep(_lengths(spark, sf_dir)))
+    """E3, J6, of every model."""
+    predictions = given.binary_predictions(spark, sf_dir)
+    return _rounded(evaluation.threshold_sweep(predictions, by=["model"]))
 
 
 @query
 def lowest_cost_threshold(spark, sf_dir):
-    """E4."""
-    sweep = evaluation.threshold_sweep(_lengths(spark, sf_dir), 1.0, 1.0)
-    return _rounded(evaluation.lowest_cost_threshold(sweep).select("threshold", "relative_decision_cost"))
+    """E4, of every model."""
+    predictions = given.binary_predictions(spark, sf_dir)
+    sweep = evaluation.threshold_sweep(predictions, 1.0, 1.0, by=["model"])
+    return _rounded(evaluation.lowest_cost_threshold(sweep, by=["model"]))
 
 
 @query
@@ -637,8 +635,10 @@ def probability_metrics(spark, sf_dir):
 
 @query
 def reliability_curve(spark, sf_dir):
-    """E6."""
-    return _rounded(evaluation.reliability_curve(_lengths(spark, sf_dir)))
+    """E6, of every model."""
+    predictions = given.binary_predictions(spark, sf_dir)
+    models = [r["model"] for r in evaluation.models_seen(predictions).collect()]
+    return _rounded(evaluation.reliability_curve(predictions, models=models))
 
 
 @query

@@ -47,6 +47,23 @@ def test_threshold_sweep(spark):
     assert best.threshold == 0.15
 
 
+def test_sweep_and_curve_of_each_model_equal_those_of_one(spark):
+    rows = [(m, int((i * k) % 7 < 3), ((i * i * k) % 23) / 23) for m, k in (("a", 1), ("b", 5)) for i in range(90)]
+    df = spark.createDataFrame(rows, "model string, actual int, probability double")
+    sweep = evaluation.threshold_sweep(df, by=["model"])
+    best = evaluation.lowest_cost_threshold(sweep, by=["model"])
+    curve = evaluation.reliability_curve(df, models=["a", "b"])
+    for model in "ab":
+        alone = df.filter(f"model = '{model}'")
+        of = f"model = '{model}'"
+        want = evaluation.threshold_sweep(alone)
+        assert sorted(sweep.filter(of).drop("model").collect()) == sorted(want.collect())
+        assert best.filter(of).drop("model").collect() == evaluation.lowest_cost_threshold(want).collect()
+        assert curve.filter(of).drop("model").collect() == evaluation.reliability_curve(alone).collect()
+    nothing = evaluation.threshold_sweep(df.limit(0), by=["model"])
+    assert evaluation.lowest_cost_threshold(nothing, by=["model"]).collect() == []
+
+
 def test_class_metrics_by_hand(spark):
     rows = [("m", "a", "a"), ("m", "a", "b"), ("m", "b", "b"), ("m", "b", "c")]
     df = spark.createDataFrame(rows, "model string, actual string, predicted string")
