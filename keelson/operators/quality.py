@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -180,23 +181,63 @@ def warning_texts(report: DataFrame) -> DataFrame:
     return report.select("check", "column", sentence.alias("warning"))
 
 
+def table_problems(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """``check, column``: each required column that is not there, and whether there is no row.
+
+    What ``validate_suppliers`` and the other guards refuse, as rows instead of an error.
+    """
+    missing = [("missing_column", c) for c in sorted(set(required) - set(df.columns))]
+    columns = df.sparkSession.createDataFrame(missing, "check string, column string")
+    # Counts one row at most, so large tables are not read.
+    rows = df.select(F.lit(1)).limit(1).agg(F.count("*").alias("n")).filter("n = 0")
+    return columns.unionByName(
+        rows.select(F.lit("empty").alias("check"), F.lit(None).cast("string").alias("column"))
+    )
+
+
+def group_problems(
+    df: DataFrame, group: str, groups: Sequence[str], target: str | None = None
+) -> DataFrame:
+    """``group, rows, classes, problem`` of each named group, in the order of the names.
+
+    The problem is ``missing`` without rows, ``one class`` if the target has fewer than two values,
+    else null. Without a target, classes are null and only rows count.
+    """
+    spark = df.sparkSession
+    named = spark.createDataFrame([(g, i) for i, g in enumerate(groups)], "_group string, _at int")
+    classes = F.count_distinct(target) if target else F.lit(None).cast("long")
+    counted = (
+        df.filter(F.col(group).isin(list(groups)))
+        .groupBy(F.col(group).alias("_group"))
+        .agg(F.count("*").alias("rows"), classes.alias("classes"))
+    )
+    problem = F.when(F.col("rows").isNull(), "missing").when(F.col("classes") < 2, "one class")
+    none = F.lit(0).cast("long")
+    return (
+        named.join(counted, "_group", "left")
+        .orderBy("_at")
+        .select(
+            F.col("_group").alias("group"),
+            F.coalesce("rows", none).alias("rows"),
+            (F.coalesce("classes", none) if target else F.col("classes")).alias("classes"),
+            problem.alias("problem"),
+        )
+    )
+
+
+def _refused(problems: DataFrame) -> list[str]:
+    """Names of groups with a problem; there is one row per named group."""
+    return [r["group"] for r in problems.filter(F.col("problem").isNotNull()).collect()]
+
+
 def require_both_classes(df: DataFrame, group: str, target: str, groups: list[str]) -> None:
     """Every named group must be there and hold both target classes."""
-    counts = {
-        r[group]: r["classes"]
-        for r in df.filter(F.col(group).isin(groups))
-        .groupBy(group)
-        .agg(F.count_distinct(target).alias("classes"))
-        .collect()
-    }
-    for name in groups:
-        if counts.get(name, 0) < 2:
-            raise ValueError(f"The {name} split must contain both target classes.")
+    for name in _refused(group_problems(df, group, groups, target)):
+        raise ValueError(f"The {name} split must contain both target classes.")
 
 
 def require_splits(df: DataFrame, group: str, groups: list[str], what: str) -> None:
     """Every named split must have rows."""
-    there = {r[group] for r in df.select(group).filter(F.col(group).isin(groups)).distinct().collect()}
-    missing = [g for g in groups if g not in there]
+    missing = _refused(group_problems(df, group, groups))
     if missing:
         raise ValueError(f"{what} requires {' and '.join(missing)} rows.")

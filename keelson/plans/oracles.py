@@ -358,6 +358,25 @@ SELECT "check", "column", CASE "check"
     WHEN 'default_added' THEN 'Added ' || "column" || ' using default value ' || "value" || '.'
     ELSE 'Filled ' || n || ' missing values in ' || "column" || ' with ' || format('{{:.2f}}', "value") || '.'
   END AS warning FROM report WHERE n > 0"""
+CHECKED = {
+    "supplier": (
+        "supplier_id", "supplier_name", "location", "avg_delay_days", "risk_score", "daily_revenue_exposure",
+    ),
+    "lineitem": (
+        "supplier_id", "observation_date", "avg_delay_days", "risk_score", "on_time_delivery_rate",
+        "quality_defect_rate", "external_event_severity",
+    ),
+    "documents": ("title", "text", "event_type", "split"),
+    "labels": ("doc_id", "quality", "toxic"),
+}
+ORACLES["table_problems"] = " UNION ALL ".join(
+    f"""SELECT '{table}' AS "table", 'missing_column' AS "check", c AS "column"
+FROM (SELECT unnest({list(columns)}) AS c)
+WHERE c NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM {table}))
+UNION ALL SELECT '{table}', 'empty', NULL WHERE NOT EXISTS (FROM {table})"""
+    for table, columns in CHECKED.items()
+) + """ UNION ALL SELECT 'late orders', 'empty', NULL
+WHERE NOT EXISTS (FROM orders WHERE o_orderdate > DATE '2100-01-01')"""
 ORACLES["latest_suppliers"] = f"WITH {DIRTY} SELECT supplier_id, row_pos, copies FROM latest"
 ORACLES["token_sets"] = f"""
 SELECT doc_id, md5(array_to_string(list_sort({tokens("text")}), ' ')) AS tokens FROM documents"""
@@ -753,6 +772,14 @@ ORACLES["split_summary"] = f"""WITH {HISTORY}, {SPLIT}
 SELECT split, min(observation_date) AS start, max(observation_date) AS "end", count(*) AS rows,
   round(avg(disruption_next_30d), 9) AS disruption_rate
 FROM history JOIN split_days USING (observation_date) GROUP BY 1"""
+ORACLES["group_problems"] = f"""WITH {HISTORY}, {SPLIT},
+seen AS (
+  SELECT split, count(*) AS rows, count(DISTINCT disruption_next_30d) AS classes
+  FROM history JOIN split_days USING (observation_date) GROUP BY 1)
+SELECT "group", coalesce(rows, 0) AS rows, coalesce(classes, 0) AS classes,
+  CASE WHEN rows IS NULL THEN 'missing' WHEN classes < 2 THEN 'one class' END AS problem
+FROM (SELECT unnest(['Train', 'Calibration', 'Test', 'Holdout']) AS "group") named
+LEFT JOIN seen ON seen.split = named."group" """
 _medians = ", ".join(f"median({c}) AS {c}" for c in FEATURE_NAMES)
 _filled = ", ".join(f"coalesce(f.{c}, m.{c}) AS {c}" for c in FEATURE_NAMES)
 _moments = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURE_NAMES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -186,6 +187,37 @@ def latest_suppliers(spark, sf_dir):
     return last.select("supplier_id", "row_pos", F.col("_copies").alias("copies"))
 
 
+#: Tables that are checked, and the columns that the operators on them ask for.
+CHECKED_TABLES = {
+    "supplier": quality.REQUIRED,
+    "lineitem": features.REQUIRED,
+    "documents": ("title", "text", "event_type", "split"),
+    "labels": ("doc_id", "quality", "toxic"),
+}
+
+
+@query
+def table_problems(spark, sf_dir):
+    """V2, V8: what the guards would refuse in the tables as they are, and in one without rows."""
+    found = [(name, given.table(spark, sf_dir, name)) for name in CHECKED_TABLES]
+    problems = [
+        quality.table_problems(frame, CHECKED_TABLES[name]).withColumn("table", F.lit(name))
+        for name, frame in found
+    ]
+    late = given.table(spark, sf_dir, "orders").filter("o_orderdate > DATE '2100-01-01'")
+    problems.append(
+        quality.table_problems(late, ["o_orderkey"]).withColumn("table", F.lit("late orders"))
+    )
+    return functools.reduce(DataFrame.unionByName, problems)
+
+
+@query
+def group_problems(spark, sf_dir):
+    """V8: rows and classes of the splits of the history, and of one that nothing falls into."""
+    labeled = models.temporal_split(given.history(spark, sf_dir))
+    return quality.group_problems(labeled, "split", [*models.SPLITS, "Holdout"], models.TARGET)
+
+
 # --- text -------------------------------------------------------------------------------------
 
 

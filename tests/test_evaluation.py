@@ -233,3 +233,19 @@ def test_both_classes_are_required(spark):
     df = spark.createDataFrame([("Train", 1), ("Train", 1)], "split string, y int")
     with pytest.raises(ValueError, match="Train"):
         quality.require_both_classes(df, "split", "y", ["Train"])
+    with pytest.raises(ValueError, match="Late and None"):
+        quality.require_splits(df, "split", ["Train", "Late", "None"], "It")
+
+
+def test_refusals_as_rows(spark):
+    df = spark.createDataFrame(
+        [("a", 1), ("a", 0), ("a", None), ("b", 1), ("b", None), (None, 0)], "split string, y int"
+    )
+    got = quality.group_problems(df, "split", ["b", "a", "c"], "y").collect()
+    assert [tuple(r) for r in got] == [("b", 2, 1, "one class"), ("a", 3, 2, None), ("c", 0, 0, "missing")]
+    got = quality.group_problems(df, "split", ["c", "a"]).collect()
+    assert [tuple(r) for r in got] == [("c", 0, None, "missing"), ("a", 3, None, None)]
+    got = quality.table_problems(df, ["z", "split", "x"]).collect()
+    assert [tuple(r) for r in got] == [("missing_column", "x"), ("missing_column", "z")]
+    got = quality.table_problems(df.limit(0), ["split"]).collect()
+    assert [tuple(r) for r in got] == [("empty", None)]
