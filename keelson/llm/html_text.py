@@ -79,6 +79,25 @@ _CERTAIN = re.compile(
     r"skip-link)(?:\s+|$))+",
     re.I,
 )
+#: Parts of names that mean page furniture, mostly; that may mean it; and that say nothing. Fixed values.
+_STRONG = set(
+    "ad adsense advert advertisement ads breadcrumb breadcrumbs comment commentlist comments consent "
+    "cookie cookies disqus footer gdpr masthead modal navbar navigation newsletter overlay pager "
+    "pagination paywall popup respond sidebar signup subscribe subscription".split()
+)
+_WEAK = set(
+    "alert banner login menu nav notice notices promo rail recommendations recommended related "
+    "replies search share sharing social sponsor sponsored toolbar".split()
+)
+_GENERIC = set(
+    "area bar block bottom box buttons column container dialog fixed form global inner items left "
+    "links list outer panel policy posts primary reader readers right secondary section site "
+    "sticky thread top user users widget widgets wrap wrapper".split()
+)
+#: A container goes if its name, place, shape, links and density add up to this.
+_FURNITURE_SCORE = 3
+#: So much text outside of what names call furniture, and the article is looked for there only.
+_OUTSIDE_CHARS, _OUTSIDE_SHARE = 200, 0.2
 #: Density sums inside a perhaps marked container count by this share when the core is chosen.
 _MARKED_SHARE = 0.5
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -94,6 +113,10 @@ class _Page:
         self.tags, self.parents, self.dropped = ["#page"], [0], [False]
         #: By name: perhaps furniture, and certainly so.
         self.marked, self.certain = [False], [False]
+        #: How much a container's name speaks for furniture, from 0 to 3, and its tag and class.
+        self.priors, self.shapes = [0], [("", "")]
+        #: Ids of sections that speak for furniture.
+        self.section_ids: dict[int, str] = {}
         self.events: list[tuple[int, str | None]] = []
         self._open = [0]
         self._read(source)
@@ -150,6 +173,11 @@ class _Page:
         marked, certain = self._named_as_furniture(tag, attributes)
         self.marked.append(marked)
         self.certain.append(certain)
+        prior, shape, slug = _name_prior(tag, attributes)
+        if slug:
+            self.section_ids[node] = slug
+        self.priors.append(prior)
+        self.shapes.append((tag, shape))
         if tag == "main":  # a container of the main element is no furniture, whatever its name
             for above in self._open:
                 self.certain[above] = False
@@ -205,6 +233,68 @@ class _Page:
         del self._open[depth:]
 
 
+def _name_prior(tag: str, attributes: str) -> tuple[int, str, str]:
+    """How much the names of a container speak for page furniture, its class, a section's id that
+    does.
+
+    3 if one name consists of words for furniture and words that say nothing, and one of the
+    former hardly means anything else; 2 if it may; 1 if such a word is but a part of a name. An
+    id of a section counts one less: it is often made from a heading.
+    """
+    prior, shape, slug_id = 0, "", ""
+    if not attributes or tag not in _NAMED and tag != "li":
+        return prior, shape, slug_id
+    for attribute, *values in _ATTRIBUTE.findall(attributes):
+        attribute, value = attribute.lower(), "".join(values).lower()
+        if attribute == "class":
+            shape = " ".join(value.split()[:1])
+        if attribute not in ("class", "id", "role") or tag not in _NAMED:
+            continue
+        slug = attribute == "id" and tag == "section"
+        for name in value.split():
+            parts = set(re.split("[-_]+", name.strip("-_")))
+            if not parts & (_STRONG | _WEAK) or parts & {"has", "with", "no"}:
+                continue
+            if parts <= _STRONG | _WEAK | _GENERIC:
+                prior = max(prior, (3 if parts & _STRONG else 2) - slug)
+                slug_id = name if slug else slug_id
+            else:
+                prior = max(prior, 1)
+    return prior, shape, slug_id
+
+
+def _forgive_slugs(page: _Page) -> None:
+    """An id that a section has from its own heading says little about it."""
+    if not page.section_ids:
+        return
+    size = len(page.tags)
+    heading, words = [0] * size, {}
+    for node in range(1, size):
+        heading[node] = node if page.tags[node] in _HEADINGS else heading[page.parents[node]]
+    for node, text in page.events:
+        if text and heading[node]:
+            words.setdefault(heading[node], []).append(text)
+    first = [node if page.tags[node] in _HEADINGS else size for node in range(size)]
+    for node in range(size - 1, 0, -1):
+        first[page.parents[node]] = min(first[page.parents[node]], first[node])
+    for node, name in page.section_ids.items():
+        title = "".join(words.get(first[node], ())).lower()
+        if "-".join(re.findall(r"\w+", title)) == name.strip("-_").replace("_", "-"):
+            page.priors[node] = min(page.priors[node], 1)
+
+
+def _furniture_score(
+    page: _Page, node: int, last: list[int], blocks: list[int], repeated: list[bool], thin: bool, linked: bool
+) -> int:
+    """The name's part, plus one each for: no article block on one of the two sides; several
+    children of one shape, as in a list of comments; few characters per tag; links mostly.
+
+    ``blocks`` are the paragraphs and items outside of all named containers, in page order.
+    """
+    edge = not blocks or blocks[-1] < node or blocks[0] > last[node]
+    return page.priors[node] + edge + repeated[node] + thin + linked
+
+
 def _composite(chars: int, links: int, tags: int, link_tags: int, overall: float) -> float:
     """Characters per tag, weighted by how few of them are links."""
     base = math.log(chars / max(chars - links, 1) * links + overall * chars + math.e)
@@ -251,6 +341,7 @@ def _densities(
 def main_text(source: str) -> str:
     """The article text of one page: blocks in page order, one per line; empty if there is none."""
     page = _Page(source)
+    _forgive_slugs(page)
     size = len(page.tags)
 
     def below(roots: list[bool]) -> list[bool]:
@@ -264,9 +355,34 @@ def main_text(source: str) -> str:
     if not chars[0] and any(page.certain):  # nothing else on the page
         hidden = below(page.dropped)
         density, sums, chars, links = _densities(page, hidden)
-    # A name lowers the score only; a wrapper around the whole page lowers all scores alike.
+    # Last node below each one; what holds the page's title or main element is no furniture.
+    last, holds_title, seen, repeated = list(range(size)), [False] * size, set(), [False] * size
+    for node in range(size - 1, 0, -1):
+        parent = page.parents[node]
+        holds_title[node] = holds_title[node] or page.tags[node] in ("h1", "main") and not hidden[node]
+        holds_title[parent] = holds_title[parent] or holds_title[node]
+        last[parent] = max(last[parent], last[node])
+        if page.shapes[node][1]:
+            key = (parent, page.shapes[node])
+            repeated[parent] = repeated[parent] or key in seen
+            seen.add(key)
+        if page.tags[node] in ("ul", "ol", "div"):
+            repeated[parent] = repeated[parent] or repeated[node]
+    judged = [p > 0 and not holds_title[i] and not hidden[i] for i, p in enumerate(page.priors)]
+    strong = below([j and page.priors[i] + repeated[i] >= 2 for i, j in enumerate(judged)])
+    # A name lowers the score only; a wrapper around the whole page lowers all scores alike. With
+    # enough text elsewhere, the core is not looked for in what names call furniture.
+    own_chars = [0] * size
+    for node, text in page.events:
+        if text and not hidden[node]:
+            own_chars[node] += len(" ".join(text.split()))
+    outside = sum(n for n, inside in zip(own_chars, strong, strict=True) if not inside)
+    elsewhere = outside >= min(_OUTSIDE_CHARS, _OUTSIDE_SHARE * max(chars[0], 1))
     lowered = below(page.marked)
-    scores = [x * _MARKED_SHARE if low else x for x, low in zip(sums, lowered, strict=True)]
+    scores = [
+        0.0 if inside and elsewhere else x * _MARKED_SHARE if low else x
+        for x, low, inside in zip(sums, lowered, strong, strict=True)
+    ]
     core = max(range(size), key=lambda i: (scores[i], -i))
     if sums[core] == 0:  # text without any element around it
         core = 0
@@ -287,7 +403,27 @@ def main_text(source: str) -> str:
     enough = min(threshold, median_low(usual)) if usual else threshold
     # What is perhaps furniture by name is so if it is thin, too.
     thin = [m and i not in on_path and density[i] < enough for i, m in enumerate(page.marked)]
-    hidden = below([a or b for a, b in zip(hidden, thin, strict=True)])
+    named_parts = below(judged)
+    blocks = [
+        node
+        for node in range(size)
+        if page.tags[node] in ("p", "li", "blockquote", "pre")
+        and not hidden[node]
+        and not named_parts[node]
+        and chars[node]
+        and density[node] >= enough
+    ]
+    scored = [
+        judged[i]
+        and i not in on_path
+        and chars[i] > 0
+        and _furniture_score(
+            page, i, last, blocks, repeated, density[i] < enough, links[i] > 0.5 * chars[i]
+        )
+        >= _FURNITURE_SCORE
+        for i in range(size)
+    ]
+    hidden = below([any(three) for three in zip(hidden, thin, scored, strict=True)])
     in_body = [False] * size
     shown = [False] * size
     for node in range(size):

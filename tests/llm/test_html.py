@@ -91,6 +91,60 @@ def test_names_alone_drop_no_article_text(page, want):
     assert html_text.main_text(page) == "\n".join(want)
 
 
+TWO = f"<p>{LONG[5]}</p><p>{LONG[6]}</p>"
+REPLIES = "".join(f"<div class='reply'><b>user{i}</b><p>{p}</p></div>" for i, p in enumerate(LONG[5:]))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # Reader comments: by name and place, by name and shape, longer than the article.
+        (f"<article>{FIVE}<section id='comments'>{MORE}</section></article>", LONG[:5]),
+        (f"<article>{FIVE}<section id='comments'><h2>12 Comments</h2>{REPLIES}</section></article>", LONG[:5]),
+        (f"<article>{FIVE}<section id='comments'><h2>Comments</h2>{REPLIES * 6}</section></article>", LONG[:5]),
+        (f"<body><div>{FIVE}<div class='article-comments'>{REPLIES}</div></div></body>", LONG[:5]),
+        (f"<body><article>{FIVE}</article><div class='user-comments'>{REPLIES * 9}</div></body>", LONG[:5]),
+        (f"<article>{FIVE}<section id='comments'><ol><li class=c>{LONG[5]}<li class=c>{LONG[6]}</ol></section></article>", LONG[:5]),
+        # Sidebars, notices, footers and adverts as dense as the article.
+        (f"<body><article>{FIVE}</article><div class='sidebar-left widget-area'>{TWO}</div></body>", LONG[:5]),
+        (f"<div class='wrap'><div class='sidebar-left widget-area'>{TWO}</div><div>{FIVE}</div></div>", LONG[:5]),
+        (f"<body><div class='cookie-consent-bar'>{TWO}</div><article>{FIVE}</article></body>", LONG[:5]),
+        (f"<body><article>{FIVE}</article><div class='site-info footer-widgets'>{TWO}</div></body>", LONG[:5]),
+        (f"<body><div>{FIVE}<div class='newsletter-box'>{TWO}</div>{MORE}</div></body>", LONG),
+        (f"<body><div>{FIVE}<div class='related-posts'>{TWO}</div></div></body>", LONG[:5]),
+        (f"<body><div class='notice-bar'><p>{LONG[7]}</p></div><div>{FIVE}</div></body>", LONG[:5]),
+    ],
+)
+def test_dense_furniture(page, want):
+    assert html_text.main_text(page) == "\n".join(want)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div class='sidebar-left'><h1>T</h1>{FIVE}</div></body>", ["T", *LONG[:5]]),
+        (f"<body><p>By me</p><div class='sidebar-left'>{FIVE}</div></body>", LONG[:5]),
+        (f"<article>{FIVE}<section id='comments-on-the-bill'><h2>On the bill</h2>{MORE}</section></article>",
+         [*LONG[:5], "On the bill", *LONG[5:]]),
+        (f"<article>{FIVE}<section id='search'><h2>Search</h2>{MORE}</section></article>",
+         [*LONG[:5], "Search", *LONG[5:]]),
+        (f"<article>{FIVE}<div class='footer-notes'>{MORE}</div></article>", LONG),
+        (f"<article>{FIVE}<div class='notice'><p>{LONG[5]}</p></div><p>{LONG[6]}</p></article>", LONG[:7]),
+        (f"<article>{FIVE}<section id='comments'><h2>Remarks</h2>{MORE}</section>{FIVE}</article>",
+         [*LONG[:5], "Remarks", *LONG[5:], *LONG[:5]]),
+        (f"<div class='layout-sidebar-left'><div>{FIVE}</div><div>{MORE}</div></div>", LONG),
+        (f"<body><div class='content sidebar-right'><article>{FIVE}</article></div></body>", LONG[:5]),
+    ],
+)
+def test_articles_in_containers_with_such_names(page, want):
+    assert html_text.main_text(page) == "\n".join(want)
+
+
+def test_many_named_sections():
+    page = "".join(f"<section id=comments><h2>Comments</h2><p>{LONG[0]}</p></section>" for _ in range(4_000))
+    assert html_text.main_text(f"<article>{page}</article>").count("Comments") == 4_000
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 5_000 + "deep") == "deep"
     long = "<article>" + "<p>word word word</p>" * 20_000 + "</article>"
