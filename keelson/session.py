@@ -81,6 +81,20 @@ def salted_join(
     )
 
 
+def spread_join(
+    many: DataFrame, few: DataFrame, on: list[str], spread_by: list[str], salts: int = 64
+) -> DataFrame:
+    """Inner join like ``salted_join`` for wide rows of ``few``.
+
+    They are copied only to the slices that ``many`` has rows in for their key: never more copies
+    than rows of ``many``, and none of rows without a partner. Reads ``many`` twice.
+    """
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    dealt = many.withColumn("_salt", salt)
+    copies = few.join(dealt.select(*on, "_salt").distinct(), on)
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt")
+
+
 def clip(column: Column, low: float | None = None, high: float | None = None) -> Column:
     """Limit to [low, high]; null stays null, unlike with bare ``least``/``greatest``."""
     limited = column

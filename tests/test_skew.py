@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from keelson.operators import features, matching, prefix, quantiles, similarity
 from keelson.operators.evaluation import probability_metrics, reliability_curve
+from keelson.session import spread_join
 from tests.brute import greedy, jaccard, tokens, top_articles
 
 
@@ -174,6 +175,16 @@ def test_ranking_by_many_frequent_tokens_without_the_product(spark, monkeypatch)
     assert sum(asked) < 2**12
 
 
+def test_wide_rows_are_copied_where_they_are_needed(spark):
+    many = spark.range(500).selectExpr("if(id < 400, 0, id) AS article_pos", "id AS supplier_id")
+    few = spark.range(2_000).selectExpr("id AS article_pos", "concat('text ', id) AS body")
+    spread = spread_join(many, few, ["article_pos"], ["supplier_id"])
+    assert sorted(spread.columns) == ["article_pos", "body", "supplier_id"]
+    plain = many.join(few, "article_pos").select(*spread.columns)
+    assert sorted(spread.collect()) == sorted(plain.collect()) and spread.count() == 500
+    assert spread_join(many, few.limit(0), ["article_pos"], ["supplier_id"]).collect() == []
+
+
 def history(spark, months=40, suppliers=3):
     rng = random.Random(5)
     rows = []
