@@ -1,8 +1,9 @@
 """Boosted trees of second order, and exact attributions of their margins.
 
-Rows are binned once. A round grows one tree level by level: every task adds up gradients and
-hessians of its rows per (node, feature, bin), one aggregate merges these sums, and the driver reads
-the best splits off a histogram whose size does not depend on the data. Sums are of integers, so
+Rows are binned once and kept as blocks of arrays in a persisted RDD of at most as many partitions
+as there are cores. A round grows one tree level by level: every task adds up gradients and
+hessians of its rows per (node, feature, bin), and the driver adds these sums, whose size does not
+depend on the data, and reads the best splits off them. Sums are of integers, so
 trees do not depend on how the rows are partitioned. Missing values have a bin of their own and go
 to the side that gains more.
 
@@ -13,11 +14,13 @@ weighted by the hessians that went there in training.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -28,8 +31,12 @@ from keelson.session import cut_lineage
 GRAIN = 1 << 20
 #: Ranges of equal width per feature that the bins are made from.
 FINE = 4_096
-#: Rounds after which the margins are written.
-ROUNDS_AT_ONCE = 15
+#: Rounds after which the margins are brought up to date.
+ROUNDS_AT_ONCE = 5
+#: Rows that are worth a task of their own.
+ROWS_PER_TASK = 20_000
+#: Rows of a block, about.
+BLOCK_ROWS = 65_536
 #: A split has to gain more than this.
 LEAST_GAIN = 1e-6
 
@@ -232,66 +239,74 @@ def fit_boosted_trees(
     stats = rows.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("ones")).first()
     share = min(max((stats["ones"] or 0.0) / max(stats["n"], 1), 1e-6), 1 - 1e-6)
     base = math.log(share / (1 - share))
-    state = cut_lineage(
+    table = cut_lineage(
         rows.select(
             F.xxhash64(*keys).alias("id"),
             arrow_udf(to_bins, "binary")(feature_values(features)).alias("bins"),
             F.col(label).cast("double").alias("label"),
-            F.lit(base).alias("margin"),
         )
     )
 
+    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(found: list[pa.RecordBatch]) -> pa.RecordBatch:
+            own = pa.Table.from_batches(found)
+            ids, labels = own["id"].to_numpy(), own["label"].to_numpy()
+            binned = np.frombuffer(b"".join(own["bins"].to_pylist()), np.uint8).reshape(-1, width)
+            packed = pickle.dumps((ids, binned, labels, np.full(len(ids), base)))
+            return pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["block"])
+
+        found: list[pa.RecordBatch] = []
+        for batch in batches:
+            found.append(batch)
+            if sum(map(len, found)) >= BLOCK_ROWS:
+                yield block(found)
+                found = []
+        if sum(map(len, found)):
+            yield block(found)
+
+    packed = table.mapInArrow(to_blocks, "block binary").rdd
+    # A round is three small jobs: few rows are few tasks, many rows a task per core.
+    tasks = min(packed.context.defaultParallelism, 1 + stats["n"] // ROWS_PER_TASK)
+    blocks = packed.coalesce(tasks).map(lambda row: pickle.loads(row["block"]))
+    state = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    outdated: list[RDD] = []
+
     def histogram(pending: list[_Growing], growing: _Growing, number: int, used: list[int], level: int):
         first, nodes = (1 << level) - 1, 1 << level
+        cells = nodes * len(used) * slots
+        starts = np.arange(len(used)) * slots
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((2, nodes * len(used) * slots))
-            for batch in batches:
-                if not len(batch):
-                    continue
-                ids, packed, labels, margins = (
-                    batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                )
+        def add(blocks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[np.ndarray]:
+            sums = np.zeros((2, cells))
+            for ids, binned, labels, margin in blocks:
                 # The draw of a row in a round: bits of its hash, shuffled by the round's number.
                 keep = sampled(ids, seed, number, row_share)
-                binned = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, width)[keep]
-                margin = margins[keep]
+                binned, margin = binned[keep], margin[keep]
                 for tree in pending:
                     margin = margin + tree.value[tree.nodes(binned, bins)]
-                g, h = gradients(margin, labels[keep])
                 node = growing.nodes(binned, bins) - first
                 here = node >= 0
-                for i, feature in enumerate(used):
-                    place = (node[here] * len(used) + i) * slots + binned[here, feature]
-                    for k, values in enumerate((g, h)):
-                        sums[k] += np.bincount(place, values[here], sums.shape[1])
-            at = np.flatnonzero(sums.any(0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), *(pa.array(s[at].astype(np.int64)) for s in sums)], ["place", "g", "h"]
-            )
-
-        found = (
-            state.mapInArrow(add, "place long, g long, h long")
-            .groupBy("place")
-            .agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            .toArrow()
-        )
-        g, h = np.zeros((2, nodes * len(used) * slots))
-        place = found["place"].to_numpy()
-        g[place], h[place] = found["g"].to_numpy(), found["h"].to_numpy()
-        shape = (nodes, len(used), slots)
-        return g.reshape(shape), h.reshape(shape)
-
-    def advanced(pending: list[_Growing]) -> DataFrame:
-        def move(packed: pa.Array, margin: pa.Array) -> pa.Array:
-            total = margin.to_numpy().copy()
-            binned = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, width)
+                place = (node[here] * len(used) * slots)[:, None] + starts + binned[np.ix_(here, used)]
+                for k, values in enumerate(gradients(margin, labels[keep])):
+                    sums[k] += np.bincount(place.ravel(), np.repeat(values[here], len(used)), cells)
+            yield sums.astype(np.int64)
+
+        # As many small sums as there are partitions.
+        found = sum(state.mapPartitions(add).collect(), np.zeros((2, cells), np.int64)).astype(np.float64)
+        while outdated:
+            outdated.pop().unpersist()
+        g, h = found.reshape(2, nodes, len(used), slots)
+        return g, h
+
+    def advanced(pending: list[_Growing]) -> RDD:
+        def move(block: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+            ids, binned, labels, margin = block
             for tree in pending:
-                total = total + tree.value[tree.nodes(binned, bins)]
-            return pa.array(total)
+                margin = margin + tree.value[tree.nodes(binned, bins)]
+            return ids, binned, labels, margin
 
-        moved = arrow_udf(move, "double")("bins", "margin")
-        return cut_lineage(state.select("id", "bins", "label", moved.alias("margin")))
+        outdated.append(state)
+        return state.map(move).persist(StorageLevel.MEMORY_AND_DISK)
 
     trees: list[Tree] = []
     pending: list[_Growing] = []
@@ -333,6 +348,8 @@ def fit_boosted_trees(
         )
         if len(pending) == ROUNDS_AT_ONCE and number + 1 < rounds:
             state, pending = advanced(pending), []
+    for rdd in (*outdated, state):
+        rdd.unpersist()
     return BoostedTrees(list(features), base, trees)
 
 

@@ -144,3 +144,14 @@ def test_few_rows_and_one_class(spark):
     empty = boosting.fit_boosted_trees(train.limit(0), FEATURES, "y", ["id"], rounds=1)
     assert train.select(boosting.margin(empty).alias("m")).distinct().count() == 1
     assert boosting.mean_contributions(train.limit(0), empty).collect() == []
+
+
+def test_rounds_write_nothing_and_leave_nothing_behind(spark, monkeypatch):
+    cuts = []
+    cut = boosting.cut_lineage
+    monkeypatch.setattr(boosting, "ROUNDS_AT_ONCE", 2)
+    monkeypatch.setattr(boosting, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    boosting.fit_boosted_trees(table(spark, 120), FEATURES, "y", ["id"], rounds=6, bins=8)
+    assert len(cuts) == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
