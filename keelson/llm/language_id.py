@@ -6,6 +6,7 @@ batches, each as the sum of the matrix rows of its n-grams.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -21,9 +22,11 @@ from keelson.llm.common import (
     mix,
     replace_columns,
     small_batches,
+    store,
     text_slices,
     texts_of,
 )
+from keelson.operators.quantiles import order_statistics
 
 #: Rows per language that the model is fitted on (on average; chosen by a hash of the text).
 ROWS_PER_LANGUAGE = 2_000
@@ -36,6 +39,8 @@ MOST_LANGUAGES = 1_000
 
 #: Fewer labelled rows of a language teach no bound on how unusual its texts may be.
 LEAST_ROWS_FOR_BOUND = 20
+#: Languages whose bounds are looked for in one pass.
+LANGUAGES_AT_ONCE = 50
 #: The bound leaves out at most this share of them, the least usual.
 SHARE_OUT = 0.001
 #: From so many n-grams on the mean over a text is steady; shorter texts may stray further.
@@ -108,12 +113,16 @@ def _chosen(
     rows: DataFrame, sizes: dict[str, tuple[int, int]], rows_per_language: int
 ) -> DataFrame:
     """About so many distinct texts of each language, by text hash; all of them if there are fewer."""
+    return rows.where(_is_chosen(sizes, rows_per_language)).distinct()
+
+
+def _is_chosen(sizes: dict[str, tuple[int, int]], rows_per_language: int) -> Column:
     share = F.lit(None).cast("double")
     for name in sorted(sizes):
         share = F.when(F.col("lang") == name, rows_per_language / sizes[name][1]).otherwise(share)
     # The upper hash bits as a number in [0, 1): a fixed choice, whatever the partitions are.
     draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
-    return rows.where(draw < share).distinct()
+    return draw < share
 
 
 def fit_language_model(
@@ -186,10 +195,10 @@ def learn_bounds(
     lang: str = "lang",
     rows_per_language: int = ROWS_PER_LANGUAGE,
 ) -> LanguageModel:
-    """The model with ``allowed``: how unusual the labelled rows it was fitted on are.
+    """The model with ``allowed``: how unusual the labelled rows are, all of them.
 
-    ``docs`` and ``rows_per_language`` are those of the fit. Each row is judged by the counts of
-    all others.
+    ``docs`` and ``rows_per_language`` are those of the fit. Each distinct text is judged once, by
+    the counts of all others: what the model learned from it is taken out.
     """
     rows, sizes = _labelled(docs, text, lang)
     if not model.languages:
@@ -201,32 +210,43 @@ def learn_bounds(
         model = spread.value
         buckets = len(model.weights)
         for batch in batches:
-            ks, shortfalls = [], []
-            names = batch.column(1).to_pylist()
-            for value, name in zip(texts_of(batch.column(0)), names, strict=True):
+            ks, keys, shortfalls = [], [], []
+            rest = [batch.column(i).to_pylist() for i in (1, 2, 3)]
+            for value, name, learned, key in zip(texts_of(batch.column(0)), *rest, strict=True):
                 if not any(map(str.isalpha, value)):
                     continue
                 k = number[name]
                 hashed = np.concatenate([own for own, _ in _ngrams([value])])
                 bucket, times = np.unique(hashed, return_counts=True)
                 whole = model.totals[k] + SMOOTHING * buckets
-                others = np.exp(model.weights[bucket, k].astype(np.float64)) * whole - times
-                logs = np.log(np.maximum(others, SMOOTHING)) - np.log(whole - len(hashed))
+                own = times if learned else 0
+                others = np.exp(model.weights[bucket, k].astype(np.float64)) * whole - own
+                logs = np.log(np.maximum(others, SMOOTHING)) - np.log(whole - (len(hashed) if learned else 0))
                 ks.append(k)
+                keys.append(key)
                 shortfalls.append(float(model.shortfall(logs @ times / len(hashed), len(hashed), k)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ks, pa.int32()), pa.array(shortfalls, pa.float64())], ["k", "shortfall"]
+                [pa.array(ks, pa.int32()), pa.array(keys, pa.int64()), pa.array(shortfalls, pa.float64())],
+                ["k", "key", "shortfall"],
             )
 
-    found = (
-        _chosen(rows, sizes, rows_per_language).mapInArrow(judge, "k int, shortfall double").toArrow()
+    learned = F.coalesce(_is_chosen(sizes, rows_per_language), F.lit(False))
+    judged = rows.select("text", "lang", learned.alias("learned"), F.xxhash64("text").alias("key"))
+    found = store(
+        judged.mapInArrow(judge, "k int, key long, shortfall double")
+        .groupBy("k", "key")
+        .agg(F.min("shortfall").alias("shortfall"))
     )
-    k, shortfall = found["k"].to_numpy(), found["shortfall"].to_numpy()
+    known = found.groupBy("k").agg(F.count("*").alias("n"), F.min("shortfall").alias("a"), F.max("shortfall").alias("z"))
+    enough = [row for row in known.collect() if row["n"] >= LEAST_ROWS_FOR_BOUND]
     allowed = model.allowed.copy()
-    for i in range(len(model.languages)):
-        own = shortfall[k == i]
-        if len(own) >= LEAST_ROWS_FOR_BOUND:
-            allowed[i] = max(np.quantile(own, 1 - SHARE_OUT, method="higher"), 0.0)
+    for start in range(0, len(enough), LANGUAGES_AT_ONCE):
+        part = {f"k{row['k']}": row for row in enough[start : start + LANGUAGES_AT_ONCE]}
+        columns = found.select(*[F.when(F.col("k") == row["k"], F.col("shortfall")).alias(c) for c, row in part.items()])
+        ranks = {c: [math.ceil((row["n"] - 1) * (1 - SHARE_OUT))] for c, row in part.items()}
+        values = order_statistics(columns, ranks, {c: (row["a"], row["z"]) for c, row in part.items()})
+        for c, row in part.items():
+            allowed[row["k"]] = max(values[c][ranks[c][0]], 0.0)
     return replace(model, allowed=allowed)
 
 
