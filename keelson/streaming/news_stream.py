@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from keelson.functions.text import parse_instant
 from keelson.operators.similarity import deduplicate_after
-from keelson.session import cut_lineage
+from keelson.session import cut_lineage, scratch_tables
 from keelson.sources.tables import PAYLOAD_SCHEMA, positioned_articles
 
 #: The column of a target's folders: the number of the trigger that kept an article.
@@ -89,16 +89,17 @@ def keep_first_titles(
     of each trigger is written beside the target.
     """
     spark, seen = news.sparkSession, f"{target}.seen"
-    news = cut_lineage(news)
-    times = news.agg(F.max(parse_instant(F.col(published))).alias("newest"))
-    kept = _written(spark, target, news.schema, trigger).select(title, published)
-    if days is not None:
-        newest = _written(spark, seen, times.schema, trigger).agg(F.max("newest")).first()[0]
-        kept = kept.where(_in_time(F.col(published), newest, days))
-        news = news.where(_in_time(F.col(published), newest, days))
-    first = deduplicate_after(kept, news, threshold, title, order, **tuning)
-    first.write.mode("overwrite").parquet(f"{target}/{TRIGGER}={trigger}")
-    times.write.mode("overwrite").parquet(f"{seen}/{TRIGGER}={trigger}")
+    with scratch_tables(spark):
+        news = cut_lineage(news)
+        times = news.agg(F.max(parse_instant(F.col(published))).alias("newest"))
+        kept = _written(spark, target, news.schema, trigger).select(title, published)
+        if days is not None:
+            newest = _written(spark, seen, times.schema, trigger).agg(F.max("newest")).first()[0]
+            kept = kept.where(_in_time(F.col(published), newest, days))
+            news = news.where(_in_time(F.col(published), newest, days))
+        first = deduplicate_after(kept, news, threshold, title, order, **tuning)
+        first.write.mode("overwrite").parquet(f"{target}/{TRIGGER}={trigger}")
+        times.write.mode("overwrite").parquet(f"{seen}/{TRIGGER}={trigger}")
 
 
 def land_first_titles(
