@@ -55,3 +55,11 @@ def test_a_block_removes_its_tables_but_those_kept(spark):
         session.stored(spark.range(3))
         raise ValueError
     assert set(os.listdir(folder(spark))) - before == left
+
+
+def test_a_search_leaves_only_what_its_result_reads(spark):
+    news = spark.createDataFrame(rows(0, 40), SCHEMA)
+    before = set(os.listdir(folder(spark)))
+    found = similarity.near_duplicates(news, window=4, crowd=8)
+    assert len(set(os.listdir(folder(spark))) - before) == 2
+    assert found.count() > 0
